@@ -56,6 +56,7 @@ class Transducer:
             self.ends[node] = i
         self.inner = {k >> 8 for k in self.trie}
         self.fits: dict[int, bool] = {}
+        self.spines: dict[tuple[int, bool], list] = {}
         self.states: dict[tuple[int, bytes], dict] = {}
         self.start: dict = self._state(_NONE, b"", [_NONE], [(0, 0)])
 
@@ -64,12 +65,12 @@ class Transducer:
         """last: the last token at each position; live: the live positions, each with its trie node."""
         return {"before": before, "text": text, "last": last, "live": live}
 
-    def merge(self, text: bytes) -> list[bytes]:
-        """The encoding by the merges themselves: the pair of lowest rank first, the leftmost of equals."""
+    def merge(self, text: bytes, least: int = 1) -> list[bytes]:
+        """The encoding by the merges themselves, down to `least` parts: the pair of lowest rank first, the leftmost of equals."""
         ranks = self.ranks
         parts = [text[i : i + 1] for i in range(len(text))]
         pairs = [ranks.get(text[i : i + 2], _NEVER) for i in range(len(text) - 1)]
-        while pairs:
+        while len(parts) > least:
             low = min(pairs)
             if low == _NEVER:
                 break
@@ -82,6 +83,35 @@ class Transducer:
                 pairs[i] = ranks.get(parts[i] + parts[i + 1], _NEVER)
         return parts
 
+    def spine(self, token: int, right: bool) -> list[tuple[bytes, int, int]]:
+        """The parts that stand at one end of a token while it is made, largest first: each with the rank that makes
+        it and the rank of the merge that uses it up."""
+        got = self.spines.get((token, right))
+        if got is None:
+            got, t, used = [], self.tokens[token], _NEVER
+            while True:
+                made = self.ranks[t] if len(t) > 1 else -1
+                got.append((t, made, used))
+                if len(t) == 1:
+                    break
+                used, t = made, self.merge(t, 2)[right]
+            self.spines[token, right] = got
+        return got
+
+    def _fits(self, before: int, token: int) -> bool:
+        """By the spines: joined, the tokens stay apart unless two parts that exist at one time make a token over their
+        border. Of equal ranks the left one merges first. A token of lower rank than its parts is left to the merges."""
+        for x, made_x, used_x in self.spine(before, True):
+            for y, made_y, used_y in self.spine(token, False):
+                r = self.ranks.get(x + y)
+                if r is not None:
+                    if r < made_x or r < made_y:
+                        whole = [self.tokens[before], self.tokens[token]]
+                        return self.merge(b"".join(whole)) == whole
+                    if r < used_x and r <= used_y:
+                        return False
+        return True
+
     def fit(self, before: int, token: int) -> bool:
         """Whether token may follow the token before it (none at the start)."""
         key = (before + 1) << 24 | token
@@ -89,8 +119,11 @@ class Transducer:
         if got is None:
             if len(self.fits) > 4 * MAX_STATES:
                 self.fits.clear()
-            whole = [self.tokens[token]] if before == _NONE else [self.tokens[before], self.tokens[token]]
-            got = self.fits[key] = self.merge(b"".join(whole)) == whole
+            if before == _NONE:
+                got = self.merge(self.tokens[token]) == [self.tokens[token]]
+            else:
+                got = self.fit(_NONE, token) and self._fits(before, token)
+            self.fits[key] = got
         return got
 
     def _arc(self, state: dict, byte: int) -> tuple[dict, list[int]]:
@@ -119,12 +152,12 @@ class Transducer:
         cut = at.pop()
         text = state["text"] + bytes((byte,))
         if not cut:
-            return self._known(self._state(state["before"], text, last, live)), []
+            return self._state(state["before"], text, last, live), []
         out, s = [], cut
         while s:
             out.append(last[s])
             s -= len(tokens[last[s]])
-        return self._known(self._state(last[cut], text[cut:], last[cut:], [(s - cut, node) for s, node in live])), out[::-1]
+        return self._state(last[cut], text[cut:], last[cut:], [(s - cut, node) for s, node in live]), out[::-1]
 
     def _known(self, state: dict) -> dict:
         if len(self.states) > MAX_STATES:
@@ -151,7 +184,11 @@ class Transducer:
         for b in piece:
             arc = state.get(b)
             if arc is None:
-                arc = state[b] = self._arc(state, b)
+                arc = self._arc(state, b)
+                if "warm" in state:  # states are kept from their second use on: most words of a corpus come once
+                    arc = state[b] = self._known(arc[0]), arc[1]
+                else:
+                    state["warm"] = True
             state, got = arc
             if got:
                 out += got

@@ -46,6 +46,15 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(h.n_hit, 0)::BIGINT AS n_
 FROM words d LEFT JOIN hit_words h USING (doc_id) LEFT JOIN hit_items t USING (doc_id)
 """
 
+OP8 = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS digest, strlen(coalesce(html, '')) AS n FROM pages),
+r AS (SELECT digest, max(page_id) AS ref FROM p WHERE n >= 1000 GROUP BY digest)
+SELECT p.page_id, p.n::BIGINT AS payload_bytes, p.digest AS payload_digest,
+       CASE WHEN r.ref > p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN r.ref > p.page_id THEN r.ref END AS refers_to
+FROM p LEFT JOIN r ON p.digest = r.digest AND p.n >= 1000
+"""
+
 OP10 = r"""
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -72,4 +81,4 @@ FROM checked GROUP BY conv_id
 
 
 def oracles() -> dict[str, str]:
-    return {"op3_decontaminate": OP3, "op6_line_dedup": OP6, "op10_chat": OP10}
+    return {"op3_decontaminate": OP3, "op6_line_dedup": OP6, "op8_warc": OP8, "op10_chat": OP10}

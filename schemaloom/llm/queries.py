@@ -7,11 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ann import nearest
 from .bpe import bpe_encode
 from .chat import chat_format, chat_read, loss_text
 from .decontaminate import decontaminate
 from .line_dedup import line_dedup
+from .quality import quality
 from .simhash import simhash_components
+from .toxicity import toxicity
+from .warc import read_warc, warc_index, write_warc
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -39,12 +43,32 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    out = quality(docs, table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "held_out", "content_score", "metadata_score", "score", "keep")
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = line_dedup(docs)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = write_warc(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return warc_index(read_warc(spark, path))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -66,7 +90,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_bpe": op2_bpe,
         "op3_decontaminate": op3_decontaminate,
+        "op4_nearest": op4_nearest,
+        "op5_quality": op5_quality,
         "op6_line_dedup": op6_line_dedup,
+        "op7_toxicity": op7_toxicity,
+        "op8_warc": op8_warc,
         "op9_simhash": op9_simhash,
         "op10_chat": op10_chat,
     }
