@@ -14,6 +14,7 @@ from .decontaminate import decontaminate
 from .line_dedup import line_dedup
 from .quality import quality
 from .simhash import simhash_components
+from .suffix_dedup import suffix_dedup
 from .toxicity import toxicity
 from .warc import read_warc, warc_index, write_warc
 
@@ -31,6 +32,10 @@ def public_vocabulary(name: str = VOCABULARY) -> tuple[str, str]:
     return public_tokenizers.path(name), public_tokenizers.PATTERN
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), with_texts=False)
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_vocabulary()
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -88,6 +93,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_suffix_dedup": op1_suffix_dedup,
         "op2_bpe": op2_bpe,
         "op3_decontaminate": op3_decontaminate,
         "op4_nearest": op4_nearest,
