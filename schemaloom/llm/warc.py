@@ -5,17 +5,19 @@ from __future__ import annotations
 import re
 import uuid
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import materialise, release, shared_dir
+from .common import BROADCAST_BYTES, materialise, release, shared_dir
 
 #: The version line that starts a record; the blank lines that end its head, and the record.
 MAGIC = b"WARC/1.1\r\n"
 HEAD_END = b"\r\n\r\n"
+#: Bytes that a row of the tables sent to all tasks takes, at most: file name or digest, and a few numbers.
+_ROW = 512
 #: Fixed point in time that archives carry, so that equal input gives equal files.
 DATE = "2020-01-01T00:00:00Z"
 
@@ -38,14 +40,17 @@ def write_warc(pages: DataFrame, path: str | None = None, id_col: str = "page_id
     Of records with equal payloads of `least` bytes or more, the one with the largest id is the response and the
     others are revisits of it, without a payload. A null payload is empty, a null url an empty header; rows without an
     id come with an empty id, are responses and are nobody's response. Rows that repeat an id and payload are alike.
-    Digests, not payloads, are grouped: a hot payload is counted after map-side combination, and payloads are shuffled
-    once, by id, to meet what they refer to.
+    Digests, not payloads, are grouped: a hot payload is counted after map-side combination. The revisits' ids are sent to
+    all tasks where their counted size is under the broadcast bound; beyond it, payloads are shuffled once, by id.
     """
     path = path or f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col), F.lit("")).alias("payload"))
     long = rows.where((F.octet_length("payload") >= least) & F.col("page_id").isNotNull()).select("page_id", F.sha1(F.col("payload").cast("binary")).alias("digest"))
     groups = long.groupBy("digest").agg(F.max("page_id").alias("ref"), F.min("page_id").alias("least")).where("ref > least").select("digest", "ref")
     again = long.join(groups, "digest").where("page_id < ref").select(F.col("page_id").alias("again_id"), F.col("digest").alias("again"), "ref").distinct()
+    again = materialise(again, "again")
+    if again.count() * _ROW <= BROADCAST_BYTES:
+        again = F.broadcast(again)
     joined = rows.withColumn("digest", F.sha1(F.col("payload").cast("binary"))).join(again, (F.col("page_id") == F.col("again_id")) & (F.col("digest") == F.col("again")), "left")
     rid = lambda c: F.concat(F.lit("<urn:page:"), _line(c), F.lit(">"))
     common = [("WARC-Record-ID", rid(F.col("page_id"))), ("WARC-Date", F.lit(DATE)), ("WARC-Target-URI", _line(F.col("url"))), ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))), ("WARC-Payload-Length", F.octet_length("payload").cast("string"))]
@@ -58,31 +63,56 @@ def write_warc(pages: DataFrame, path: str | None = None, id_col: str = "page_id
 _LENGTH = re.compile(rb"(?im)^content-length:[ \t]*(\d+)[ \t]*\r?$")
 
 
-def _parse():
-    """Chunks between version lines -> candidates: where they are in their split, and what their head claims."""
-    schema = ["file", "block", "ord", "rel", "size", "head", "length", "raw"]
+def _head_of(raw: bytes) -> tuple[int, int]:
+    """Size of a record's head after its version line, and the length it claims; -1 for both if it isn't one."""
+    end = raw.find(HEAD_END)
+    m = _LENGTH.search(raw, 0, end + 2) if end >= 0 else None
+    return (end + 4, int(m[1])) if m else (-1, -1)
 
-    def run(batches):
-        at, ord_, rel = None, 0, 0
-        for b in batches:
-            out: list[list] = [[] for _ in schema]
-            for f, k, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                if (f, k) != at:
-                    at, ord_, rel = (f, k), 0, 0
-                raw = raw or b""
-                end = raw.find(HEAD_END)
-                m = _LENGTH.search(raw, 0, end + 2) if end >= 0 else None
-                for c, v in zip(out, (f, k, ord_, rel, len(raw), end + 4 if m else -1, int(m[1]) if m else -1, raw), strict=True):
-                    c.append(v)
-                ord_ += 1
-                rel += len(raw) + len(MAGIC)
-            kinds = [pa.string(), *[pa.int64()] * 6, pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=schema)
 
-    return run
-
-
-_CANDIDATE = T.StructType([T.StructField("file", T.StringType()), *[T.StructField(n, T.LongType()) for n in ("block", "ord", "rel", "size", "head", "length")], T.StructField("raw", T.BinaryType())])
+def _candidates(batches):
+    """Pieces between version lines -> candidates: where they are in their split, and what their head claims."""
+    at, rel = None, 0
+    for b in batches:
+        out: list[list] = [[] for _ in range(6)]
+        for f, k, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            if (f, k) != at:
+                at, rel = (f, k), 0
+            raw = raw or b""
+            for c, v in zip(out, (f, k, rel, len(raw), *_head_of(raw)), strict=True):
+                c.append(v)
+            rel += len(raw) + len(MAGIC)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, [pa.string(), *[pa.int64()] * 5], strict=True)], names=["file", "block", "rel", "size", "head", "length"])
+
+
+def _pieces(batches):
+    """Pieces in order, with what is known of their split -> pieces of records: each with its record's start and end.
+
+    A piece starts a record if chains enter the split there or the record before it ends there; it goes on with that
+    record if it starts before its end; else nothing reaches it.
+    """
+    names = ["file", "record", "until", "file_end", "start", "alone", "raw"]
+    kinds = [pa.string(), *[pa.int64()] * 4, pa.bool_(), pa.binary()]
+    at, now, rel, enter = None, None, 0, frozenset()
+    for b in batches:
+        out: list[list] = [[] for _ in names]
+        cols = [b.column(n).to_pylist() for n in ("file", "block", "value", "base", "file_end", "entries", "c_start", "c_until")]
+        for f, k, raw, base, end, entries, c_start, c_until in zip(*cols, strict=True):
+            if (f, k) != at:
+                at, rel, enter = (f, k), 0, frozenset(entries or ())
+                now = (c_start, c_until) if c_start is not None else None
+            raw = raw or b""
+            start = base + rel - len(MAGIC)
+            rel += len(raw) + len(MAGIC)
+            if start >= 0 and (start in enter or now is not None and start == now[1]):
+                head, length = _head_of(raw)
+                now = (start, start + len(MAGIC) + head + length + len(HEAD_END) if head >= 0 else -1)
+            elif now is None or start >= now[1]:
+                continue
+            alone = start == now[0] and start + len(MAGIC) + len(raw) >= min(now[1], end)
+            for c, v in zip(out, (f, *now, end, start, alone, raw), strict=True):
+                c.append(v)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=names)
 
 
 def _exits(part):
@@ -97,15 +127,18 @@ def _exits(part):
     return part[["file", "block", "start", "next", "exit"]]
 
 
-def _reached(part):
-    """Within a split: the candidates on the chains from its reached entries."""
+def _last(part):
+    """Within a split: its reached entries, and the last candidate on the chains from them."""
     to = dict(zip(part["start"].tolist(), part["next"].tolist(), strict=True))
+    entries = part.loc[part["entry"], "start"].tolist()
     seen = set()
-    for s in part.loc[part["entry"], "start"].tolist():
+    for s in entries:
         while s in to and s not in seen:
             seen.add(s)
             s = to[s] if to[s] > s else -1
-    return part.loc[part["start"].isin(seen), ["file", "block", "start", "next"]]
+    last = max(seen, default=None)
+    out = {"file": part["file"].iloc[0], "block": part["block"].iloc[0], "entries": entries, "last": None if last is None else (last, to[last])}
+    return pd.DataFrame({k: pd.Series([v], dtype=object) for k, v in out.items()})
 
 
 def read_warc(spark: SparkSession, path: str, max_rounds: int = 40) -> DataFrame:
@@ -121,15 +154,14 @@ def read_warc(spark: SparkSession, path: str, max_rounds: int = 40) -> DataFrame
     """
     lines = spark.read.option("lineSep", MAGIC.decode()).text(path)
     pieces = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("value"))
-    found = pieces.mapInArrow(_parse(), _CANDIDATE)
-    slim = materialise(found.drop("raw"), "candidates")
+    slim = materialise(pieces.mapInArrow(_candidates, "file string, block long, rel long, size long, head long, length long"), "candidates")
     # where splits begin: sums of the sizes before them; a row per split
     m = len(MAGIC)
     totals = slim.groupBy("file", "block").agg(F.sum(F.col("size") + m).alias("bytes"))
     base = totals.select("file", "block", F.coalesce(F.sum("bytes").over(W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"), (F.sum("bytes").over(W.partitionBy("file")) - m).alias("file_end"))
     placed = slim.join(base, ["file", "block"]).withColumn("start", F.col("base") + F.col("rel") - m)
     # the piece before a file's first version line is no candidate
-    edges = placed.where("start >= 0").select("file", "block", "ord", "start", "size", "head", "file_end", F.when(F.col("head") >= 0, F.col("start") + m + F.col("head") + F.col("length") + len(HEAD_END)).otherwise(-1).alias("next"))
+    edges = placed.where("start >= 0").select("file", "block", "start", F.when(F.col("head") >= 0, F.col("start") + m + F.col("head") + F.col("length") + len(HEAD_END)).otherwise(-1).alias("next"))
     edges = materialise(edges, "edges")
     kinds = "file string, block long, start long, next long"
     exits = materialise(edges.select("file", "block", "start", "next").groupBy("file", "block").applyInPandas(_exits, kinds + ", exit long"), "exits")
@@ -151,21 +183,19 @@ def read_warc(spark: SparkSession, path: str, max_rounds: int = 40) -> DataFrame
         jump = materialise(jump.alias("x").join(jump.alias("y"), (F.col("x.file") == F.col("y.file")) & (F.col("x.exit") == F.col("y.start"))).select("x.file", "x.start", "y.exit"), "jump")
     entries = reached.withColumn("entry", F.lit(True))
     on = exits.select("file", "block", "start", "next").join(entries, ["file", "start"], "left").withColumn("entry", F.coalesce("entry", F.lit(False)))
-    good = materialise(on.select("file", "block", "start", "next", "entry").groupBy("file", "block").applyInPandas(_reached, kinds), "good")
-    # pieces of each record: its own, and those of version lines inside its payload
-    marks = edges.join(good.select("file", "start", F.lit(1).alias("is_record")), ["file", "start"], "left")
-    in_split = W.partitionBy("file", "block").orderBy("start")
-    last = marks.groupBy("file", "block").agg(F.max(F.when(F.col("is_record") == 1, F.col("start"))).alias("last"))
-    carried = last.select("file", "block", F.last("last", ignorenulls=True).over(W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)).alias("carried"))
-    own = marks.withColumn("own", F.last(F.when(F.col("is_record") == 1, F.col("start")), ignorenulls=True).over(in_split))
-    parts = own.join(carried, ["file", "block"]).withColumn("record", F.coalesce("own", "carried")).where("record is not null")
-    need = good.select("file", F.col("start").alias("record"), F.col("next").alias("until"))
-    parts = parts.join(need, ["file", "record"]).where("start < until or start = record")
-    parts = parts.select("file", "block", "ord", "start", "record", "until", "file_end", (F.col("start") + m + F.col("size") >= F.least("until", "file_end")).alias("last_one"))
-    whole = found.join(materialise(parts, "parts").withColumnsRenamed({"file": "f2", "block": "b2", "ord": "o2"}), (F.col("file") == F.col("f2")) & (F.col("block") == F.col("b2")) & (F.col("ord") == F.col("o2")))
-    alone = (F.col("start") == F.col("record")) & F.col("last_one")
-    one = whole.where(alone).select("file", "record", "until", "file_end", "raw")
-    many = whole.where(~alone).groupBy("file", "record").agg(F.min("until").alias("until"), F.min("file_end").alias("file_end"), F.sort_array(F.collect_list(F.struct("start", "raw"))).alias("p"))
+    last = on.groupBy("file", "block").applyInPandas(_last, "file string, block long, entries array<long>, last struct<start:long,next:long>")
+    before = F.last("last", ignorenulls=True).over(W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1))
+    splits = base.join(last, ["file", "block"], "left").select("file", "block", "base", "file_end", "entries", before.alias("open"))
+    splits = materialise(splits.select("file", "block", "base", "file_end", "entries", F.col("open.start").alias("c_start"), F.col("open.next").alias("c_until")), "splits")
+    release(slim, edges, hops, reached)
+    if splits.count() * _ROW <= BROADCAST_BYTES:  # pieces stay in the order in which their task reads them
+        known = pieces.join(F.broadcast(splits), ["file", "block"])
+    else:
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        known = pieces.withColumn("__at", F.monotonically_increasing_id()).join(splits, ["file", "block"]).repartition(parts, "file", "block").sortWithinPartitions("file", "block", "__at").drop("__at")
+    cut = known.mapInArrow(_pieces, "file string, record long, until long, file_end long, start long, alone boolean, raw binary")
+    one = cut.where("alone").select("file", "record", "until", "file_end", "raw")
+    many = cut.where("not alone").groupBy("file", "record").agg(F.min("until").alias("until"), F.min("file_end").alias("file_end"), F.sort_array(F.collect_list(F.struct("start", "raw"))).alias("p"))
     glued = F.aggregate(F.slice("p", 2, F.size("p") - 1), F.element_at("p", 1)["raw"], lambda acc, x: F.concat(acc, F.lit(MAGIC), x["raw"]))
     raw = one.unionByName(many.select("file", "record", "until", "file_end", glued.alias("raw")))
     return raw.mapInArrow(_record, "file string, offset long, head string, payload binary, complete boolean")
