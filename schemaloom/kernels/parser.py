@@ -167,11 +167,12 @@ class _Parser:
         return Doc(tools, defs)
 
     def block(self, need_body: bool = False) -> Block:
-        name = self.take("word", "string", what="a name at the start of a block").value
+        head = self.take("word", "string", what="a name at the start of a block")
+        name = head.value
         text = self.description()
         self.take("newline", what="end of the header line")
         if need_body and self.peek().kind != "indent":
-            self.fail(f"definition {name!r} has no body")
+            self.fail(f"definition {name!r} has no body", head)
         return Block(name, self.body() if self.peek().kind == "indent" else [], text)
 
     def body(self) -> list[Fld]:

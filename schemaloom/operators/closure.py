@@ -5,19 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import cut
 
-def reference_closure(seeds: DataFrame, edges: DataFrame, max_rounds: int = 64, checkpoint_every: int = 4) -> DataFrame:
+
+def reference_closure(seeds: DataFrame, edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     """seeds(doc_id, owner, name), edges(doc_id, name, target) -> (doc_id, owner, name) reached from each owner.
 
-    Each round joins only what the last one found. Lineage is cut every few rounds where the session has a checkpoint folder.
+    Each round joins only what the last one found, and is checkpointed, so plans stay as small as the first one's.
     """
     keys = ["doc_id", "owner", "name"]
-    seen = front = seeds.select(keys).distinct()
-    can_cut = seeds.sparkSession.conf.get("spark.checkpoint.dir", None) is not None
-    for k in range(max_rounds):
+    edges = cut(edges.select("doc_id", "name", "target").distinct())
+    seen = front = cut(seeds.select(keys).distinct())
+    for _ in range(max_rounds):
         found = front.join(edges, ["doc_id", "name"]).select("doc_id", "owner", F.col("target").alias("name")).distinct()
-        front = found.join(seen, keys, "left_anti")
-        front = front.checkpoint() if can_cut and k % checkpoint_every == checkpoint_every - 1 else front.cache()
+        front = cut(found.join(seen, keys, "left_anti"))
         if front.isEmpty():
             break
         seen = seen.unionByName(front)

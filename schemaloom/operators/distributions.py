@@ -39,8 +39,9 @@ def baseline_gap(compact: DataFrame, pretty: DataFrame) -> DataFrame:
 
 def size_correlation(pairs: DataFrame) -> DataFrame:
     """Pearson correlation of size and saving per tokenizer; NaN where either doesn't vary."""
-    r = reductions(pairs).groupBy("tokenizer").agg(F.count("*").alias("n"), F.corr("j", "saving").alias("r"), F.stddev_pop("j").alias("sj"), F.stddev_pop("saving").alias("ss"))
-    return r.select("tokenizer", "n", F.when((F.col("n") < 2) | (F.col("sj") == 0) | (F.col("ss") == 0) | F.col("r").isNull(), F.lit(float("nan"))).otherwise(F.col("r")).alias("r"))
+    r = reductions(pairs).groupBy("tokenizer").agg(F.count("*").alias("n"), F.covar_pop("j", "saving").alias("c"), F.stddev_pop("j").alias("sj"), F.stddev_pop("saving").alias("ss"))
+    varies = (F.col("sj") > 0) & (F.col("ss") > 0)
+    return r.select("tokenizer", "n", F.when(varies, F.try_divide("c", F.col("sj") * F.col("ss"))).otherwise(F.lit(float("nan"))).alias("r"))
 
 
 def equal_count_bins(pairs: DataFrame, bins: int = 10) -> DataFrame:

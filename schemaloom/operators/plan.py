@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import cut
+
 
 def _first(df: DataFrame, message: str) -> None:
     if row := df.limit(1).collect():
@@ -53,7 +54,7 @@ def places(rows: DataFrame, order: str, name: str = "place") -> DataFrame:
     spark = rows.sparkSession
     mid = F.monotonically_increasing_id()
     ranged = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), order).sortWithinPartitions(order).withColumns({"__p": F.shiftright(mid, 33), "__i": mid.bitwiseAND(F.lit((1 << 33) - 1))})
-    ranged = ranged.checkpoint() if spark.conf.get("spark.checkpoint.dir", None) else ranged.persist(StorageLevel.DISK_ONLY_2)
+    ranged = cut(ranged)
     sizes = sorted((r["__p"], r["count"]) for r in ranged.groupBy("__p").count().collect())
     before, total = [], 0
     for p, n in sizes:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# The texts of a prompt.
-INTRO = """The following tools are described in CATS, a compact notation for tool definitions. Read each tool like a typed function signature.
+# The texts of a prompt, and the name of the notation in them.
+NOTATION = "CATS"
+INTRO = f"""The following tools are described in {NOTATION}, a compact notation for tool definitions. Read each tool like a typed function signature.
 
 - Each tool starts with its name on its own line, optionally followed by `#` and a description. The indented lines below are its parameters.
 - Each parameter line reads left to right: the parameter name, then its type, then, optionally, a description introduced by `#`."""
@@ -31,7 +32,7 @@ ENUM_MULTI = "A `|` between values restricts the field to exactly those: `sort r
 ENUM_SINGLE = 'A quoted value like `mode "automatic"` means the field must equal exactly that.'
 REFERENCE = "A type written `$Name` (for example `home_address $Address`) refers to a reusable shape defined under the `$defs` block at the top of the document. Look there for that shape's fields."
 PARAMETERLESS = 'A tool shown with a name but no parameter lines takes no arguments. Call it with an empty arguments object: `{"name": "<tool_name>", "arguments": {}}`.'
-FALLBACK = "Some tools below are written as raw JSON Schema (a block starting with `{`) instead of CATS. Read those exactly as you normally read JSON Schema tool definitions. Every tool is either fully CATS or fully JSON Schema — the two are never mixed inside one tool."
+FALLBACK = f"Some tools below are written as raw JSON Schema (a block starting with `{{`) instead of {NOTATION}. Read those exactly as you normally read JSON Schema tool definitions. Every tool is either fully {NOTATION} or fully JSON Schema — the two are never mixed inside one tool."
 CONTRACT = """To call a tool, respond with only a single fenced JSON block in this exact shape, and nothing else:
 
 ```json
@@ -129,7 +130,7 @@ def sections(intro: Column, tools: Column, uniformity: Column) -> Column:
 
 def system_prompt(text: Column) -> Column:
     """Primer, fenced notation and contract of a manifest row; null where all tools are raw."""
-    return F.when(~F.col("all_fallback"), sections(primer(), F.concat(F.lit("```cats\n"), text, F.lit("\n```")), F.col("required_uniformity")))
+    return F.when(~F.col("all_fallback"), sections(primer(), F.concat(F.lit(f"```{NOTATION.lower()}\n"), text, F.lit("\n```")), F.col("required_uniformity")))
 
 
 def json_prompt(canonical_tools: Column, uniformity: Column, intro: str = "The following tools are defined as JSON Schema.") -> Column:

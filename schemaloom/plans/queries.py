@@ -170,8 +170,8 @@ def s_catalog_files(spark, sf_dir):
     occ = D.occurrences(spark, sf_dir).withColumn("g", F.col("ord") % 100)
     entries = occ.groupBy("g").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "schema"))), lambda x: x["schema"]), ",").alias("f"))
     base = scratch(spark, "catalog")
-    entries.select(F.concat(F.lit('{"id":"e'), F.col("g"), F.lit('","function":['), F.col("f"), F.lit("]}")).alias("value")).coalesce(1).write.text(f"{base}/BFCL_v4_simple.json")
-    got = files.read_catalog(spark, f"{base}/BFCL_v4_simple.json")
+    entries.select(F.concat(F.lit('{"id":"e'), F.col("g"), F.lit('","function":['), F.col("f"), F.lit("]}")).alias("value")).coalesce(1).write.text(f"{base}/tools_v4_simple.json")
+    got = files.read_catalog(spark, f"{base}/tools_v4_simple.json")
     return got.groupBy("entry").agg(F.count("schema").alias("n"), F.max("ord").alias("last"))
 
 
