@@ -18,7 +18,9 @@ from pyspark.sql import types as T
 from .common import map_columns, to_bytes
 
 #: Bounds of the per-process tables: states of the transducer, and pieces whose whole path is remembered.
-MAX_STATES, MAX_PIECES = 150_000, 600_000
+MAX_STATES, MAX_PIECES = 100_000, 400_000
+#: Bytes that may be left of a piece for it to be ended without new states; longer ones go from state to state.
+SHORT = 64
 
 
 def read_ranks(raw: bytes) -> dict[bytes, int]:
@@ -179,16 +181,44 @@ class Transducer:
             state["end"] = got
         return got
 
+    def _tail(self, state: dict, rest: bytes) -> list[int]:
+        """The tokens of a state followed by a short rest, without making states on the way."""
+        trie, ends, inner, fit = self.trie, self.ends, self.inner, self.fit
+        last, live = list(state["last"]), state["live"]
+        for b in rest:
+            end, on = None, []
+            for s, node in live:
+                to = trie.get(node << 8 | b)
+                if to is not None:
+                    if end is None and to in ends and fit(last[s], ends[to]):
+                        end = ends[to]
+                    if to in inner:
+                        on.append((s, to))
+            if end is not None:
+                on.append((len(last), 0))
+            last.append(end)
+            live = on
+        out, s = [], len(last) - 1
+        while s:
+            if last[s] is None:
+                raise ValueError("the ranks don't cover this byte sequence")
+            out.append(last[s])
+            s -= len(self.tokens[last[s]])
+        return out[::-1]
+
     def encode(self, piece: bytes) -> list[int]:
         state, out = self.start, []
-        for b in piece:
+        for i, b in enumerate(piece):
             arc = state.get(b)
             if arc is None:
-                arc = self._arc(state, b)
                 if "warm" in state:  # states are kept from their second use on: most words of a corpus come once
+                    arc = self._arc(state, b)
                     arc = state[b] = self._known(arc[0]), arc[1]
                 else:
                     state["warm"] = True
+                    if len(piece) - i <= SHORT:
+                        return out + self._tail(state, piece[i:])
+                    arc = self._arc(state, b)
             state, got = arc
             if got:
                 out += got
@@ -296,9 +326,14 @@ CHUNK = 1 << 16
 def _kernel(raw: bytes, pattern: str, with_ids: bool):
     def make():
         enc, dec = tables(raw, pattern)
-        gc.disable()  # the tables hold no cycles, and walking them again and again takes longer than the encoding
-
         def kernel(texts):
+            gc.disable()  # the tables hold no cycles, and walking them again and again takes longer than the encoding
+            try:
+                return encoded(texts)
+            finally:
+                gc.enable()
+
+        def encoded(texts):
             n, ids_sha, text_sha, all_ids, ends = [], [], [], [], [0]
             for t in to_bytes(texts):
                 ids = enc.encode(t.decode("utf-8", "replace"))

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+#: Bytes of a batch that a kernel sees at a time: Spark's batches are cut to this, which bounds a worker's memory.
+SLICE_BYTES = 4 << 20
 #: Largest driver-side payload, in bytes, that an operator ships to every task.
 BROADCAST_BYTES = 32 << 20
 
@@ -48,6 +50,14 @@ def to_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches in parts of about SLICE_BYTES; a row is never cut."""
+    for b in batches:
+        step = max(1, b.num_rows * SLICE_BYTES // max(1, b.nbytes))
+        for at in range(0, b.num_rows, step):
+            yield b.slice(at, step)
+
+
 def map_columns(
     df: DataFrame,
     make: Callable[[], Callable[..., list[pa.Array]]],
@@ -69,7 +79,7 @@ def map_columns(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kernel = make()
-        for b in batches:
+        for b in slices(batches):
             made = kernel(*[b.column(sent.index(c)) for c in inputs])
             yield pa.RecordBatch.from_arrays([b.column(sent.index(c)) for c in keep] + list(made), names=out_names)
 
@@ -83,7 +93,7 @@ def flat_map(df: DataFrame, make: Callable[[], Callable[..., list[pa.Array] | No
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kernel = make()
-        for b in batches:
+        for b in slices(batches):
             made = kernel(*[b.column(i) for i in range(len(inputs))])
             if made is not None:
                 yield pa.RecordBatch.from_arrays(list(made), names=names)
