@@ -149,6 +149,17 @@ def map_aliases(schema: Column) -> Column:
     return _value_udf("string", lambda x: normal.canonical(normal.apply_options(normal.load(x), False, True)[0]))(schema)
 
 
+def required_flags(schema: Column) -> Column:
+    """Whether each parameter of a tool (JSON text) is required: array<boolean>, nested objects after their parameter."""
+
+    def flags(s: Any) -> list[bool]:
+        named = s.get("properties") or {} if isinstance(s, dict) else {}
+        need = set(s.get("required") or ()) if named else ()
+        return [x for n, p in named.items() for x in [n in need, *(flags(p) if isinstance(p, dict) and p.get("type") == "object" else [])]]
+
+    return _value_udf("array<boolean>", lambda x: flags((t.get("parameters") or t) if isinstance(t := json.loads(x), dict) else {}))(schema)
+
+
 def malformed_reason(schema: Column) -> Column:
     """Why JSON text isn't a schema; null if it is."""
 

@@ -23,7 +23,7 @@ def dedupe(occurrences: DataFrame, schema: str = "schema", category: str = "cate
 
 
 def bucketed(tools: DataFrame, assume_closed: bool = True, map_types: bool = True) -> DataFrame:
-    """tools(tool_hash, schema, ...) -> also conversion, bucket (invalid, fell_back, converted), reasons, text.
+    """tools(tool_hash, schema, ...) -> also conversion, bucket (invalid_input, fell_back, converted), reasons, text.
 
     An invalid schema isn't converted; a tool falls back for the first reason that is recorded.
     """
@@ -32,7 +32,7 @@ def bucketed(tools: DataFrame, assume_closed: bool = True, map_types: bool = Tru
     invalid = F.col("invalid_reason").isNotNull()
     first = F.when(F.size("conversion.fallbacks") > 0, F.element_at("conversion.fallbacks", 1)["reason"])
     fell = first.isNotNull() | F.col("conversion.error").isNotNull()
-    bucket = F.when(invalid, "invalid").when(fell, "fell_back").otherwise("converted")
+    bucket = F.when(invalid, "invalid_input").when(fell, "fell_back").otherwise("converted")
     return out.withColumns({"bucket": bucket, "fallback_reason": F.when(~invalid, F.coalesce(first, F.col("conversion.error"))), "text": F.when(bucket == "converted", F.col("conversion.text"))})
 
 
@@ -66,7 +66,7 @@ def summary(rows: DataFrame, tokenizers: list[str]) -> DataFrame:
     for t in tokenizers:
         d, j = F.col(f"delta_{t}"), F.col(f"tokens_json_{t}")
         more += [F.avg(d).alias(f"mean_delta_{t}"), F.median(d).alias(f"median_delta_{t}"), F.avg(F.when(j > 0, -d * 100.0 / j)).alias(f"mean_saving_{t}")]
-    g = rows.agg(n("converted").alias("converted"), n("fell_back").alias("fell_back"), n("invalid").alias("invalid"), F.sum("occurrences").alias("occurrences"), F.sum("renamed").alias("renamed"), *more)
+    g = rows.agg(n("converted").alias("converted"), n("fell_back").alias("fell_back"), n("invalid_input").alias("invalid"), F.sum("occurrences").alias("occurrences"), F.sum("renamed").alias("renamed"), *more)
     return g.withColumn("coverage", F.try_divide("converted", F.col("converted") + F.col("fell_back")))
 
 

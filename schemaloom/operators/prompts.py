@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import kernels as K
+
 # The texts of a prompt, and the name of the notation in them.
 NOTATION = "CATS"
 INTRO = f"""The following tools are described in {NOTATION}, a compact notation for tool definitions. Read each tool like a typed function signature.
@@ -47,6 +49,8 @@ CONTRACT_BY = {
 }
 CONTRACT_END = " If no tool applies, respond in plain text with no JSON block."
 
+JSON_INTRO = "The following tools are described using JSON Schema."
+
 #: The flags of a manifest, in order.
 FLAGS = (
     "bounds_inclusive", "bounds_exclusive", "bounds_open", "has_multiple_of", "has_string_length", "string_length_open",
@@ -133,11 +137,19 @@ def system_prompt(text: Column) -> Column:
     return F.when(~F.col("all_fallback"), sections(primer(), F.concat(F.lit(f"```{NOTATION.lower()}\n"), text, F.lit("\n```")), F.col("required_uniformity")))
 
 
-def json_prompt(canonical_tools: Column, uniformity: Column, intro: str = "The following tools are defined as JSON Schema.") -> Column:
+def json_prompt(canonical_tools: Column, uniformity: Column, intro: str = JSON_INTRO) -> Column:
     """The JSON arm: intro, fenced array of canonical tools (an array column of texts), contract."""
     return sections(F.lit(intro), F.concat(F.lit("```json\n["), F.array_join(canonical_tools, ","), F.lit("]\n```")), uniformity)
 
 
+def json_arm(tools: DataFrame, keys: list[str], schema: str = "schema") -> DataFrame:
+    """tools(keys, schema as canonical JSON) -> per key: tools (distinct texts, in order) and required_uniformity of their
+    parameters, those of nested objects included."""
+    need = K.required_flags(F.col(schema))
+    g = tools.groupBy(*keys, schema).agg(F.lit(1).alias("__one")).withColumn("__f", need).groupBy(*keys).agg(F.array_sort(F.collect_list(schema)).alias("tools"), F.bool_and(F.when(F.size("__f") > 0, ~F.array_contains("__f", False))).alias("__all"), F.bool_or(F.array_contains("__f", True)).alias("__any"))
+    return g.select(*keys, "tools", F.when(F.col("__all"), "all_required").when(F.col("__any"), "mixed").otherwise("all_optional").alias("required_uniformity"))
+
+
 def contract_section(prompt: Column) -> Column:
     """The last of a prompt's three sections; null if there aren't three."""
     parts = F.split(prompt, "\n---\n")

@@ -43,7 +43,7 @@ def schema_sql(float_word: str = "float") -> str:
 
 
 SCHEMA, MAPPED = schema_sql(), schema_sql("number")
-BUCKET = _case({2: "'fell_back'", 3: "'fell_back'", 4: "'fell_back'", 10: "'invalid'"}, "'converted'")
+BUCKET = _case({2: "'fell_back'", 3: "'fell_back'", 4: "'fell_back'", 10: "'invalid_input'"}, "'converted'")
 #: The notation of what converts.
 TEXT = (
     f"({NAME} || ' # size ' || {S} || "

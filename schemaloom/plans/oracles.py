@@ -24,7 +24,7 @@ def _with(body: str) -> str:
 
 #: Per class of tool: required and optional fields that count for uniformity, other fields, nodes.
 _BRAND = _with(f"""
-, b AS (SELECT p_brand AS brand, list(DISTINCT k) AS ks FROM occ WHERE bucket <> 'invalid' GROUP BY p_brand),
+, b AS (SELECT p_brand AS brand, list(DISTINCT k) AS ks FROM occ WHERE bucket <> 'invalid_input' GROUP BY p_brand),
 f AS (SELECT brand, ks,
   list_contains(ks, 0) AS bounds_inclusive, false AS bounds_exclusive, false AS bounds_open, false AS has_multiple_of,
   list_contains(ks, 11) AS has_string_length, list_contains(ks, 11) AS string_length_open, false AS has_regex, false AS has_encoding_media,
@@ -114,10 +114,10 @@ g AS (SELECT *, CASE WHEN status = 'completed' THEN CASE WHEN turn % 9 = 8 THEN
 def oracles() -> dict[str, str]:
     out = {}
     out["a_dedupe"] = _with("SELECT tool_hash, occurrences, categories, renamed FROM tools")
-    out["a_records"] = _with("SELECT tool_hash, categories AS source_categories, occurrences AS raw_occurrence_count, bucket, bucket = 'fell_back' AS has_reason, bucket = 'invalid' AS is_invalid, tj AS tokens_json_offline, tc AS tokens_compact_offline, tc - tj AS delta_offline FROM counted")
-    out["a_summary"] = _with("""SELECT count(*) FILTER (WHERE bucket = 'converted') AS converted, count(*) FILTER (WHERE bucket = 'fell_back') AS fell_back, count(*) FILTER (WHERE bucket = 'invalid') AS invalid,
+    out["a_records"] = _with("SELECT tool_hash, categories AS source_categories, occurrences AS raw_occurrence_count, bucket, bucket = 'fell_back' AS has_reason, bucket = 'invalid_input' AS is_invalid, tj AS tokens_json_offline, tc AS tokens_compact_offline, tc - tj AS delta_offline FROM counted")
+    out["a_summary"] = _with("""SELECT count(*) FILTER (WHERE bucket = 'converted') AS converted, count(*) FILTER (WHERE bucket = 'fell_back') AS fell_back, count(*) FILTER (WHERE bucket = 'invalid_input') AS invalid,
       sum(occurrences)::BIGINT AS occurrences, sum(renamed)::BIGINT AS renamed, round(avg(tc - tj), 9) AS mean_delta_offline, round(median(tc - tj), 9) AS median_delta_offline, round(avg((tj - tc) * 100.0::DOUBLE / tj), 9) AS mean_saving_offline,
-      round(count(*) FILTER (WHERE bucket = 'converted')::DOUBLE / count(*) FILTER (WHERE bucket <> 'invalid'), 9) AS coverage FROM counted""")
+      round(count(*) FILTER (WHERE bucket = 'converted')::DOUBLE / count(*) FILTER (WHERE bucket <> 'invalid_input'), 9) AS coverage FROM counted""")
     out["a_fallback_causes"] = _with("""SELECT CASE k WHEN 2 THEN 'unencodable keyword(s) [''oneOf'']' WHEN 3 THEN 'semantic validation failed: numeric bound lower bound N exceeds upper bound N [§N.N]' ELSE 'mixed-type enum: members span more than one JSON type' END AS reason, count(*) AS n FROM tools WHERE bucket = 'fell_back' GROUP BY 1""")
     out["t_pending_tokens"] = _with("SELECT tool_hash, true AS missing FROM counted WHERE bucket = 'converted' AND tj % 2 = 1")
     out["n_options"] = f"SELECT count(*) FILTER (WHERE {D.K} = 6) AS floats, 0::BIGINT AS dicts, 0::BIGINT AS tuples, 0::BIGINT AS anys, count(*) FILTER (WHERE {D.K} = 1) AS closed, count(*) FILTER (WHERE {D.K} = 6) AS touched FROM part"
@@ -144,6 +144,8 @@ def oracles() -> dict[str, str]:
     flags = ", ".join((*P.FLAGS, "required_uniformity", "all_fallback"))
     out["m_manifest"] = _BRAND + f"SELECT brand, {flags} FROM f"
     out["m_overhead"] = _BRAND + f", t AS (SELECT brand, concat_ws(chr(10) || chr(10), {_PRIMER}, '---', '```' || chr(10) || chr(10) || '```', '---', {_CONTRACT}) AS text FROM f) SELECT brand, length(text) AS chars, sha256(text) AS sha FROM t"
+    out["q_json_prompts"] = f"""WITH {_TOOLS}, b AS (SELECT p_brand AS brand, string_agg(DISTINCT schema, ',' ORDER BY schema) AS tools, CASE WHEN bool_or(k IN (0, 5, 9, 11)) THEN 'mixed' ELSE 'all_optional' END AS required_uniformity FROM occ GROUP BY 1),
+      t AS (SELECT brand, concat_ws(chr(10) || chr(10), {_q(P.JSON_INTRO)}, '---', '```json' || chr(10) || '[' || tools || ']' || chr(10) || '```', '---', {_CONTRACT}) AS text FROM b) SELECT brand, length(text) AS chars, sha256(text) AS sha FROM t"""
     out["q_questions"] = "SELECT conv_id, arg_min(text, turn) FILTER (WHERE role = 'system') AS system_text, arg_max(text, turn) FILTER (WHERE role = 'user') AS user_text, count(*) FILTER (WHERE role = 'system') > 0 AS has_system FROM conversations GROUP BY conv_id"
     questions = f"q AS ({out['q_questions']})"
     msg = lambda role, text: f"""'{{"role":"' || {role} || '","content":' || to_json({text}) || '}}'"""
@@ -162,7 +164,7 @@ def oracles() -> dict[str, str]:
     out["s_batches"] = "SELECT count(DISTINCT conv_id) * 9 AS n, 0::BIGINT AS not_json, 0::BIGINT AS repeated_ids, 0::BIGINT AS bad_ids, true AS ok FROM conversations"
     out["s_catalog_files"] = "SELECT 'e' || (p_partkey % 100) AS entry, count(*) AS n, (count(*) - 1)::INT AS last FROM part GROUP BY 1"
     out["s_csv"] = "SELECT n_nationkey, n_name, n_regionkey FROM nation"
-    out["s_summary_json"] = _with("""SELECT '{"converted":' || count(*) FILTER (WHERE bucket = 'converted') || ',"fell_back":' || count(*) FILTER (WHERE bucket = 'fell_back') || ',"invalid":' || count(*) FILTER (WHERE bucket = 'invalid') || ',"occurrences":' || sum(occurrences)::BIGINT || '}' AS value FROM tools""")
+    out["s_summary_json"] = _with("""SELECT '{"converted":' || count(*) FILTER (WHERE bucket = 'converted') || ',"fell_back":' || count(*) FILTER (WHERE bucket = 'fell_back') || ',"invalid":' || count(*) FILTER (WHERE bucket = 'invalid_input') || ',"occurrences":' || sum(occurrences)::BIGINT || '}' AS value FROM tools""")
     out["c_join_answers"] = "SELECT lang, quality, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY ALL"
     out["c_categories"] = "SELECT event_type AS category, count(*) AS n FROM events GROUP BY 1"
     out["c_sample"] = "SELECT doc_id AS id FROM documents ORDER BY md5('20260604|' || doc_id), doc_id LIMIT 100"
@@ -200,5 +202,5 @@ def oracles() -> dict[str, str]:
       x AS (SELECT *, CASE WHEN saving < t AND t <= s2 THEN n + (t - saving) / (s2 - saving) * (n2 - n) END AS pos, CASE WHEN i = 1 AND saving >= t THEN n END AS start FROM d, (VALUES (10.0::DOUBLE), (20.0), (25.0), (99.0)) v(t))
       SELECT arm, t AS threshold, round(CASE WHEN any_value(last) >= t THEN coalesce(max(start), arg_min(pos, n) FILTER (WHERE pos IS NOT NULL)) END, 9) AS n FROM x GROUP BY arm, t"""
     out["b_ratio"] = f"WITH {_CURVE} SELECT a.n, round(a.mean_overhead / b.mean_overhead, 9) AS ratio FROM saved a JOIN saved b ON a.n = b.n AND a.arm = 'calibrated' AND b.arm = 'full'"
-    out["o_round_trips"] = _with("SELECT count(*) AS n, count(*) AS same, false AS any_differs FROM tools WHERE bucket <> 'invalid'")
+    out["o_round_trips"] = _with("SELECT count(*) AS n, count(*) AS same, false AS any_differs FROM tools WHERE bucket <> 'invalid_input'")
     return out

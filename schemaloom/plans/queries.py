@@ -129,7 +129,7 @@ def r_definitions(spark, sf_dir):
 
 def brand_manifest(spark, sf_dir) -> DataFrame:
     occ = D.occurrences(spark, sf_dir).withColumn("tool_hash", F.sha2(K.map_aliases(F.col("schema")), 256)).select("tool_hash", F.col("category").alias("brand")).distinct()
-    good = catalog.bucketed(tools(spark, sf_dir)).where("bucket <> 'invalid'").select("tool_hash", F.col("conversion.text").alias("text"))
+    good = catalog.bucketed(tools(spark, sf_dir)).where("bucket <> 'invalid_input'").select("tool_hash", F.col("conversion.text").alias("text"))
     return prompts.manifest(catalog.text_table(good, "tool_hash", "text").withColumnRenamed("doc_id", "tool_hash").join(occ, "tool_hash").withColumn("doc_id", F.col("tool_hash")), ["brand"])
 
 
@@ -142,6 +142,12 @@ def m_overhead(spark, sf_dir):
     return brand_manifest(spark, sf_dir).select("brand", F.length(text).alias("chars"), F.sha2(text.cast("binary"), 256).alias("sha"))
 
 
+def q_json_prompts(spark, sf_dir):
+    occ = D.occurrences(spark, sf_dir).select(F.col("category").alias("brand"), K.map_aliases(F.col("schema")).alias("schema"))
+    text = prompts.json_prompt(F.col("tools"), F.col("required_uniformity"))
+    return prompts.json_arm(occ, ["brand"]).select("brand", F.length(text).alias("chars"), F.sha2(text.cast("binary"), 256).alias("sha"))
+
+
 def q_questions(spark, sf_dir):
     return prompts.question_parts(table(spark, sf_dir, "conversations")).select("conv_id", "system_text", "user_text", "has_system")
 
@@ -370,7 +376,7 @@ def b_ratio(spark, sf_dir):
 
 
 def o_round_trips(spark, sf_dir):
-    good = catalog.bucketed(tools(spark, sf_dir)).where("bucket <> 'invalid'").select("tool_hash", "schema")
+    good = catalog.bucketed(tools(spark, sf_dir)).where("bucket <> 'invalid_input'").select("tool_hash", "schema")
     return equivalence.round_trip_report(equivalence.round_trips(good)).select("n", "same", "any_differs")
 
 
@@ -382,7 +388,7 @@ def o_votes(spark, sf_dir):
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     made = (
         a_summary, a_dedupe, a_records, a_fallback_causes, t_pending_tokens, n_options, w_text, p_nodes, l_tokens, j_schema, v_findings, v_kernel_findings, f_finalised,
-        j_closure, j_inlinings, r_definitions, m_manifest, m_overhead, q_questions, q_requests, s_batches, s_catalog_files, s_csv, s_summary_json,
+        j_closure, j_inlinings, r_definitions, m_manifest, m_overhead, q_json_prompts, q_questions, q_requests, s_batches, s_catalog_files, s_csv, s_summary_json,
         c_join_answers, c_categories, c_sample, c_cells, c_slices, c_latest, c_raw_store, c_status_rollup, i_resume, x_extract, x_expected, g_scored, g_summary,
         h_paired, h_descriptive, h_reconcile, d_savings, d_correlation, d_bins, d_wins, d_regressions, d_gap, d_categories, b_curve, b_break_even, b_thresholds, b_ratio,
         o_round_trips, o_votes,

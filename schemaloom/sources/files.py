@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Fixed value: the categories of the catalog's corpus.
-CATEGORIES = ("simple", "multiple", "parallel", "parallel_multiple", "java", "javascript", "live_simple", "live_multiple", "live_parallel", "live_parallel_multiple", "live_relevance")
+CATEGORIES = (
+    "simple_python", "multiple", "parallel", "parallel_multiple", "live_simple", "live_multiple", "live_parallel",
+    "live_parallel_multiple", "irrelevance", "live_irrelevance", "live_relevance",
+)
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:

@@ -41,7 +41,7 @@ def test_entry_point(spark):
 def test_broken_schemas_are_rows_not_failures(spark):
     df = spark.createDataFrame([("{", "c", 1), ("3", "c", 2), ('{"type":"string"}', "c", 3), ("[]", "c", 4)], "schema string, category string, ord int")
     got = catalog.bucketed(df.select(F.col("ord").alias("tool_hash"), "schema")).select("tool_hash", "bucket", "conversion.error").orderBy("tool_hash").collect()
-    assert [g.bucket for g in got] == ["invalid", "invalid", "fell_back", "invalid"] and "tool definitions" in got[2].error
+    assert [g.bucket for g in got] == ["invalid_input", "invalid_input", "fell_back", "invalid_input"] and "tool definitions" in got[2].error
 
 
 def test_finalised_leaves_mixed_documents(spark):
