@@ -145,8 +145,11 @@ def pages(spark, r, n=60):
     return rows
 
 
-@pytest.mark.parametrize("split", [None, "4k", "700"])
-def test_archives_come_back(spark, split):
+@pytest.mark.parametrize(("split", "bound"), [(None, None), ("4k", None), ("700", 0)])
+def test_archives_come_back(spark, monkeypatch, split, bound):
+    """Whole, split, and split with nothing sent to all tasks."""
+    if bound is not None:
+        monkeypatch.setattr("schemaloom.llm.warc.BROADCAST_BYTES", bound)
     rows = pages(spark, random.Random(6))
     path = write_warc(spark.createDataFrame(rows, PAGES).coalesce(2))
     old = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
