@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
+from ..functions.tokens import bpe_counter
 from ..operators import breakeven, catalog, closure, distributions, equivalence, extract, inference, ingest, plan, prompts, requests, scoring, validate
 from ..sources import files
 from ..streaming import resume
@@ -64,6 +65,16 @@ def t_pending_tokens(spark, sf_dir):
     return catalog.pending(got, cache).join(with_cache, "tool_hash").select("tool_hash", F.col("tokens_json_cached").isNull().alias("missing"))
 
 
+def t_bpe_savings(spark, sf_dir):
+    """Savings under a public vocabulary and the offline counter, per counter and pooled."""
+    import public_tokenizers
+
+    bpe = bpe_counter(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    got = catalog.attach_tokens(catalog.bucketed(tools(spark, sf_dir)), {"offline": distributions.offline_tokens, "bpe": bpe}).where("bucket = 'converted'")
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("tokenizer"), F.col(f"tokens_json_{n}").alias("j"), F.col(f"tokens_compact_{n}").alias("c")) for n in ("offline", "bpe")]))
+    return rounded(distributions.saving_summary(got.select(F.col("tool_hash").alias("key"), each.alias("p")).select("key", "p.*")), 6)
+
+
 def n_options(spark, sf_dir):
     """Closing and renaming, counted over occurrences."""
     c = D.occurrences(spark, sf_dir).select(K.convert_schema(F.col("schema"), True, True).alias("c"))
@@ -387,7 +398,7 @@ def o_votes(spark, sf_dir):
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     made = (
-        a_summary, a_dedupe, a_records, a_fallback_causes, t_pending_tokens, n_options, w_text, p_nodes, l_tokens, j_schema, v_findings, v_kernel_findings, f_finalised,
+        a_summary, a_dedupe, a_records, a_fallback_causes, t_pending_tokens, t_bpe_savings, n_options, w_text, p_nodes, l_tokens, j_schema, v_findings, v_kernel_findings, f_finalised,
         j_closure, j_inlinings, r_definitions, m_manifest, m_overhead, q_json_prompts, q_questions, q_requests, s_batches, s_catalog_files, s_csv, s_summary_json,
         c_join_answers, c_categories, c_sample, c_cells, c_slices, c_latest, c_raw_store, c_status_rollup, i_resume, x_extract, x_expected, g_scored, g_summary,
         h_paired, h_descriptive, h_reconcile, d_savings, d_correlation, d_bins, d_wins, d_regressions, d_gap, d_categories, b_curve, b_break_even, b_thresholds, b_ratio,

@@ -196,3 +196,19 @@ def test_native_names(spark):
 def test_offline_counter(spark):
     got = spark.createDataFrame([("ab 12, é!",), ("",), (None,)], "t string").select(distributions.offline_tokens(F.col("t")).alias("n")).collect()
     assert [x.n for x in got][:2] == [6, 0]
+
+
+def test_bpe_counter(spark):
+    import base64
+
+    import public_tokenizers as P
+    import tiktoken
+
+    from schemaloom.functions.tokens import bpe_counter
+
+    path = P.path("byte_bpe_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = [None, "", "Hello  world!", "é\n日本 123", "<|endoftext|>"]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", bpe_counter(path, P.PATTERN)(F.col("t")).alias("n")).orderBy("i").collect()
+    assert [x.n for x in got] == [None if t is None else len(enc.encode_ordinary(t)) for t in texts]
