@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from .common import map_columns, to_bytes
 
 #: Bounds of the per-process tables: states of the transducer, and pieces whose whole path is remembered.
-MAX_STATES, MAX_PIECES = 100_000, 400_000
+MAX_STATES, MAX_PIECES = 40_000, 120_000
 #: Bytes that may be left of a piece for it to be ended without new states; longer ones go from state to state.
 SHORT = 64
 
