@@ -9,9 +9,9 @@ from schemaloom.llm.bpe import bpe_encode
 from schemaloom.llm.common import materialise
 from schemaloom.llm.decontaminate import decontaminate
 from schemaloom.llm.line_dedup import line_dedup
+from schemaloom.llm.near_dup import near_dup_components
 from schemaloom.llm.quality import quality
 from schemaloom.llm.queries import public_vocabulary, table
-from schemaloom.llm.simhash import simhash_components
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,8 +26,9 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component: the one with the smallest id. Rows without an id stay."""
-    gone = simhash_components(docs).where("doc_id <> component_id").select("doc_id")
+    """One document of each component of near copies (five-word shingles, similarity 0.8 or more): the one with the
+    smallest id. Rows without an id stay."""
+    gone = near_dup_components(docs).where("doc_id <> component_id").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
