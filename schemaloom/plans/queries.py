@@ -356,7 +356,7 @@ def d_categories(spark, sf_dir):
     return rounded(distributions.category_savings(r), 6)
 
 
-TRIALS = 200
+TRIALS = 1000
 
 
 def _curve(spark, sf_dir, full: bool) -> DataFrame:
