@@ -2,26 +2,31 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import cut
 
 
-def reference_closure(seeds: DataFrame, edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+def reference_closure(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     """seeds(doc_id, owner, name), edges(doc_id, name, target) -> (doc_id, owner, name) reached from each owner.
 
-    Each round joins only what the last one found, and is checkpointed, so plans stay as small as the first one's.
+    Each round joins only what the last one found, and is checkpointed, so plans stay as small as the first one's; the
+    parts of a deep closure are brought together every 16 rounds. A round keeps new rows only, so the rounds end.
     """
     keys = ["doc_id", "owner", "name"]
     edges = cut(edges.select("doc_id", "name", "target").distinct())
     seen = front = cut(seeds.select(keys).distinct())
-    for _ in range(max_rounds):
+    for k in itertools.count(1):
         found = front.join(edges, ["doc_id", "name"]).select("doc_id", "owner", F.col("target").alias("name")).distinct()
         front = cut(found.join(seen, keys, "left_anti"))
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
+        if k % 16 == 0:
+            seen = cut(seen)
     return seen
 
 
