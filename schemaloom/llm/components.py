@@ -27,6 +27,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Nodes without a link aren't listed. Each round is written to the shared folder, so lineage stays short
     and a lost executor costs one round. The rounds end when the table no longer changes, which a count and
     an order-free checksum of its rows tell; the number of rounds grows with the logarithm of the longest chain.
+    A table that still changes after max_rounds is an error.
     """
     now = materialise(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").distinct(), "edges")
     mark = None
@@ -38,4 +39,6 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if new == mark or not new[0]:
             break
         mark = new
+    else:
+        raise RuntimeError(f"components still change after {max_rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
