@@ -54,9 +54,8 @@ def learn_codes(x: np.ndarray, scale: float, k: int, target: float, seed: int =
     made = []
     for _ in range(ROTATIONS):
         r = np.linalg.qr(rng.standard_normal((bits, bits)))[0][:d]
-        fit = base[: 1 << 13]
         for _ in range(12):
-            u, _, vt = np.linalg.svd(fit.T @ np.where(fit @ r > 0, 1.0, -1.0), full_matrices=False)
+            u, _, vt = np.linalg.svd(base.T @ np.where(base @ r > 0, 1.0, -1.0), full_matrices=False)
             r = u @ vt
         made.append(r)
     codes = Codes(np.array(made), scale, 0)
