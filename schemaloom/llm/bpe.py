@@ -15,12 +15,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import map_columns, to_bytes
+from .common import KEPT, map_columns, to_bytes
 
-#: Bounds of the per-process tables: states of the transducer, and pieces whose whole path is remembered.
-MAX_STATES, MAX_PIECES = 40_000, 120_000
+#: Bounds of the per-process tables: states of the transducer, pairs of tokens and spines remembered, and pieces remembered
+#: in each of two generations.
+MAX_STATES, MAX_PAIRS, MAX_SPINES, MAX_PIECES = 40_000, 160_000, 20_000, 160_000
 #: Bytes that may be left of a piece for it to be ended without new states; longer ones go from state to state.
 SHORT = 64
+#: Visits after which a state's arcs are kept.
+WARM = 16
 
 
 def read_ranks(raw: bytes) -> dict[bytes, int]:
@@ -32,6 +35,19 @@ def read_ranks(raw: bytes) -> dict[bytes, int]:
 _NEVER = 1 << 60
 #: Stands for the token before the first.
 _NONE = -1
+#: Bits of a token id in the key of a pair of tokens.
+_ID = 20
+
+
+class State(dict):
+    """Arcs (byte -> next state, tokens settled by it), once taken, and what the state stands for."""
+
+    __slots__ = ("before", "text", "last", "live", "warm", "end")
+
+    def __init__(self, before: int, text: bytes, last: list[int | None], live: list[tuple[int, dict]]):
+        """last: the last token at each position; live: the live positions, each with what can follow in the trie."""
+        self.before, self.text, self.last, self.live = before, text, last, live
+        self.warm, self.end = 0, None
 
 
 class Transducer:
@@ -46,26 +62,26 @@ class Transducer:
     """
 
     def __init__(self, ranks: dict[bytes, int]):
+        if max(ranks.values(), default=0) >= 1 << _ID:
+            raise ValueError("too many tokens")
         self.ranks = ranks
         self.tokens = {i: t for t, i in ranks.items()}
-        #: The vocabulary's trie: node << 8 | byte -> node; what ends at a node; nodes that run on.
-        self.trie: dict[int, int] = {}
-        self.ends: dict[int, int] = {}
+        self.sizes = {i: len(t) for t, i in ranks.items()}
+        #: The vocabulary's trie. A node: byte -> (token that ends with it, or -1; the node after it, or None).
+        self.trie: dict[int, tuple[int, dict | None]] = {}
         for t, i in ranks.items():
-            node = 0
-            for b in t:
-                node = self.trie.setdefault(node << 8 | b, len(self.trie) + 1)
-            self.ends[node] = i
-        self.inner = {k >> 8 for k in self.trie}
+            node = self.trie
+            for b in t[:-1]:
+                end, after = node.get(b, (-1, None))
+                if after is None:
+                    after = {}
+                    node[b] = end, after
+                node = after
+            node[t[-1]] = i, node.get(t[-1], (-1, None))[1]
         self.fits: dict[int, bool] = {}
         self.spines: dict[tuple[int, bool], list] = {}
-        self.states: dict[tuple[int, bytes], dict] = {}
-        self.start: dict = self._state(_NONE, b"", [_NONE], [(0, 0)])
-
-    @staticmethod
-    def _state(before: int, text: bytes, last: list[int], live: list[tuple[int, int]]) -> dict:
-        """last: the last token at each position; live: the live positions, each with its trie node."""
-        return {"before": before, "text": text, "last": last, "live": live}
+        self.states: dict[tuple[int, bytes], State] = {}
+        self.start = State(_NONE, b"", [_NONE], [(0, self.trie)])
 
     def merge(self, text: bytes, least: int = 1) -> list[bytes]:
         """The encoding by the merges themselves, down to `least` parts: the pair of lowest rank first, the leftmost of equals."""
@@ -90,6 +106,8 @@ class Transducer:
         it and the rank of the merge that uses it up."""
         got = self.spines.get((token, right))
         if got is None:
+            if len(self.spines) >= MAX_SPINES:
+                self.spines.clear()
             got, t, used = [], self.tokens[token], _NEVER
             while True:
                 made = self.ranks[t] if len(t) > 1 else -1
@@ -116,10 +134,10 @@ class Transducer:
 
     def fit(self, before: int, token: int) -> bool:
         """Whether token may follow the token before it (none at the start)."""
-        key = (before + 1) << 24 | token
+        key = before << _ID | token
         got = self.fits.get(key)
         if got is None:
-            if len(self.fits) > 4 * MAX_STATES:
+            if len(self.fits) >= MAX_PAIRS:
                 self.fits.clear()
             if before == _NONE:
                 got = self.merge(self.tokens[token]) == [self.tokens[token]]
@@ -128,21 +146,40 @@ class Transducer:
             self.fits[key] = got
         return got
 
-    def _arc(self, state: dict, byte: int) -> tuple[dict, list[int]]:
-        """The next state for a byte and the tokens that are settled by it."""
-        last, tokens, end, live = state["last"], self.tokens, None, []
-        n = len(last)
-        for s, node in state["live"]:
-            to = self.trie.get(node << 8 | byte)
-            if to is None:
-                continue
-            if end is None and to in self.ends and self.fit(last[s], self.ends[to]):
-                end = self.ends[to]
-            if to in self.inner:
-                live.append((s, to))
-        last = [*last, end]
+    def _step(self, last: list[int | None], live: list[tuple[int, dict]], byte: int) -> list[tuple[int, dict]]:
+        """Appends the last token at the position after a byte; returns the positions live there."""
+        known, end, on = self.fits, None, []
+        for s, node in live:
+            to = node.get(byte)
+            if to is not None:
+                token, after = to
+                if end is None and token >= 0:
+                    fit = known.get(last[s] << _ID | token)
+                    if fit or fit is None and self.fit(last[s], token):
+                        end = token
+                if after is not None:
+                    on.append((s, after))
         if end is not None:
-            live.append((n, 0))
+            on.append((len(last), self.trie))
+        last.append(end)
+        return on
+
+    def _path(self, last: list[int | None], at: int) -> list[int]:
+        """The tokens up to a position."""
+        out, sizes = [], self.sizes
+        while at:
+            token = last[at]
+            if token is None:
+                raise ValueError("the ranks don't cover this byte sequence")
+            out.append(token)
+            at -= sizes[token]
+        out.reverse()
+        return out
+
+    def _arc(self, state: State, byte: int) -> tuple[State, list[int]]:
+        """The next state for a byte and the tokens that are settled by it."""
+        last = list(state.last)
+        live = self._step(last, state.live, byte)
         if not live:
             raise ValueError("the ranks don't cover this byte sequence")
         # the latest position that the paths of all live positions share: always move the one that is furthest
@@ -150,72 +187,42 @@ class Transducer:
         while len(at) > 1:
             far = max(at)
             at.remove(far)
-            at.add(far - len(tokens[last[far]]))
+            at.add(far - self.sizes[last[far]])
         cut = at.pop()
-        text = state["text"] + bytes((byte,))
+        text = state.text + bytes((byte,))
         if not cut:
-            return self._state(state["before"], text, last, live), []
-        out, s = [], cut
-        while s:
-            out.append(last[s])
-            s -= len(tokens[last[s]])
-        return self._state(last[cut], text[cut:], last[cut:], [(s - cut, node) for s, node in live]), out[::-1]
-
-    def _known(self, state: dict) -> dict:
-        if len(self.states) > MAX_STATES:
+            return State(state.before, text, last, live), []
+        return State(last[cut], text[cut:], last[cut:], [(s - cut, node) for s, node in live]), self._path(last, cut)
+
+    def _known(self, state: State) -> State:
+        if len(self.states) >= MAX_STATES:
             self.states.clear()
-            self.start = self._state(_NONE, b"", [_NONE], [(0, 0)])
-        return self.states.setdefault((state["before"], state["text"]), state)
+            self.start.clear()
+        return self.states.setdefault((state.before, state.text), state)
 
-    def finish(self, state: dict) -> list[int]:
+    def finish(self, state: State) -> list[int]:
         """The tokens still held back at the end of the input."""
-        got = state.get("end")
-        if got is None:
-            last, s, got = state["last"], len(state["last"]) - 1, []
-            while s:
-                if last[s] is None:
-                    raise ValueError("the ranks don't cover this byte sequence")
-                got.append(last[s])
-                s -= len(self.tokens[last[s]])
-            got.reverse()
-            state["end"] = got
-        return got
+        if state.end is None:
+            state.end = self._path(state.last, len(state.last) - 1)
+        return state.end
 
-    def _tail(self, state: dict, rest: bytes) -> list[int]:
+    def _tail(self, state: State, rest: bytes) -> list[int]:
         """The tokens of a state followed by a short rest, without making states on the way."""
-        trie, ends, inner, fit = self.trie, self.ends, self.inner, self.fit
-        last, live = list(state["last"]), state["live"]
+        last, live = list(state.last), state.live
         for b in rest:
-            end, on = None, []
-            for s, node in live:
-                to = trie.get(node << 8 | b)
-                if to is not None:
-                    if end is None and to in ends and fit(last[s], ends[to]):
-                        end = ends[to]
-                    if to in inner:
-                        on.append((s, to))
-            if end is not None:
-                on.append((len(last), 0))
-            last.append(end)
-            live = on
-        out, s = [], len(last) - 1
-        while s:
-            if last[s] is None:
-                raise ValueError("the ranks don't cover this byte sequence")
-            out.append(last[s])
-            s -= len(self.tokens[last[s]])
-        return out[::-1]
+            live = self._step(last, live, b)
+        return self._path(last, len(last) - 1)
 
     def encode(self, piece: bytes) -> list[int]:
         state, out = self.start, []
         for i, b in enumerate(piece):
             arc = state.get(b)
             if arc is None:
-                if "warm" in state:  # states are kept from their second use on: most words of a corpus come once
+                if state.warm >= WARM:  # arcs are kept where a state is met again and again: most words of a corpus come once
                     arc = self._arc(state, b)
                     arc = state[b] = self._known(arc[0]), arc[1]
                 else:
-                    state["warm"] = True
+                    state.warm += 1
                     if len(piece) - i <= SHORT:
                         return out + self._tail(state, piece[i:])
                     arc = self._arc(state, b)
@@ -229,18 +236,37 @@ def _pack(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
+#: Slots in which a piece leaves its mark when first seen.
+_MARKS = 1 << 21
+
+
 class _Pieces(dict):
-    """Piece -> its ids as little-endian unsigned 32-bit integers; a piece seen first runs through the transducer."""
+    """Piece -> its ids as little-endian unsigned 32-bit integers; others run through the transducer.
+
+    A piece is remembered from its second sight on, as most words of a corpus come once. There are two generations:
+    when the younger one is full it becomes the older one, and what is asked for again comes back from there.
+    """
 
     def __init__(self, machine: Transducer):
-        self.machine = machine
+        self.machine, self.older, self.marks, self.marked = machine, {}, bytearray(_MARKS), 0
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) > MAX_PIECES:
+        got = self.older.pop(piece, None)
+        if got is None:
+            got = _pack(self.machine.encode(piece.encode()))
+            mark = hash(piece) % _MARKS
+            if not self.marks[mark]:
+                self.marks[mark] = 1
+                self.marked += 1
+                if 2 * self.marked > _MARKS:
+                    self.marks, self.marked = bytearray(_MARKS), 0
+                return got
+            if len(piece) > 64:
+                return got
+        if len(self) >= MAX_PIECES:
+            self.older = dict(self)
             self.clear()
-        got = _pack(self.machine.encode(piece.encode()))
-        if len(piece) <= 64:
-            self[piece] = got
+        self[piece] = got
         return got
 
 
@@ -312,6 +338,7 @@ _MADE: dict[tuple[str, str], tuple[Encoder, Decoder]] = {}
 
 def tables(raw: bytes, pattern: str) -> tuple[Encoder, Decoder]:
     """One encoder and decoder per process and vocabulary: states found by one task serve the next."""
+    KEPT["bpe"] = _MADE.clear
     key = (hashlib.sha256(raw).hexdigest(), pattern)
     if key not in _MADE:
         ranks = read_ranks(raw)
@@ -376,4 +403,4 @@ def bpe_encode(docs: DataFrame, vocabulary: str | bytes, pattern: str, text_col:
     fields = [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())]
     if with_ids:
         fields.append(("token_ids", T.ArrayType(T.IntegerType())))
-    return map_columns(docs, _kernel(raw, pattern, with_ids), [text_col], docs.columns, fields)
+    return map_columns(docs, _kernel(raw, pattern, with_ids), [text_col], docs.columns, fields, keeps="bpe")

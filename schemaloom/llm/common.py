@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of a batch that a kernel sees at a time: Spark's batches are cut to this, which bounds a worker's memory.
@@ -16,10 +20,28 @@ SLICE_BYTES = 4 << 20
 BROADCAST_BYTES = 32 << 20
 
 
+#: What a worker process keeps between tasks, by name: a function that drops it.
+KEPT: dict[str, Callable[[], None]] = {}
+
+
+def drop_kept(but: str | None = None) -> None:
+    """Drop what other kernels keep in this process: Spark reuses its workers, and their tables needn't add up."""
+    names = [n for n in KEPT if n != but]
+    for n in names:
+        KEPT.pop(n)()
+    if names:
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # give free memory back where the C library can
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, where it is unset and all run in one
+    process, a local one. On a cluster an unset folder is an error, as executors would write to disks of their own."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="schemaloom-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -45,6 +67,11 @@ def release(*frames: DataFrame | None) -> None:
             p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
+def small(df: DataFrame, most: int = 200_000) -> DataFrame:
+    """df, read from storage, to be sent to all tasks if it is counted to have so few (and short) rows; else as it is."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def to_bytes(column: pa.Array) -> list[bytes]:
     """A string column as UTF-8 bytes objects; null is empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
@@ -64,11 +91,13 @@ def map_columns(
     inputs: list[str],
     keep: list[str],
     outputs: list[tuple[str, T.DataType]],
+    keeps: str | None = None,
 ) -> DataFrame:
     """Append columns that an Arrow kernel computes; a kept column of the same name is replaced.
 
     make() runs once per task and returns the kernel, which takes the input columns of a batch and
-    returns the output columns. Only kept and input columns are sent to Python.
+    returns the output columns. Only kept and input columns are sent to Python. keeps names what the kernel keeps
+    in its process between tasks, if anything.
     """
     names = {n for n, _ in outputs}
     keep = [c for c in keep if c not in names]
@@ -78,6 +107,7 @@ def map_columns(
     out_names = [f.name for f in schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_kept(keeps)
         kernel = make()
         for b in slices(batches):
             made = kernel(*[b.column(sent.index(c)) for c in inputs])
@@ -92,6 +122,7 @@ def flat_map(df: DataFrame, make: Callable[[], Callable[..., list[pa.Array] | No
     names = [n for n, _ in outputs]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_kept()
         kernel = make()
         for b in slices(batches):
             made = kernel(*[b.column(i) for i in range(len(inputs))])
