@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import flat_map, map_columns, materialise, to_bytes
+from .common import flat_map, map_columns, materialise, small, to_bytes
 
 #: What a line's key loses at both ends; str.strip() of bytes takes the same set.
 _BLANK = b" \t\n\x0b\x0c\r"
@@ -74,14 +74,19 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     empty. Rows that repeat an id are one document for the count and are each cut alike. Rows without an id don't
     count and keep all lines. Input columns called n_lines or n_dropped are replaced.
 
-    Plan: 24-byte hash rows are shuffled (never lines); a hot line is counted after map-side combination; the
-    text is shuffled once, by id, to meet the hashes it loses.
+    Column names that begin with __line are taken here and must not be docs' own.
+
+    Plan: 24-byte hash rows are shuffled (never lines); a hot line is counted after map-side combination. The frequent
+    lines are sent to all tasks if they are counted to be few, so that a hot line's rows stay where they are; else both
+    sides of that join are shuffled as they are, which lets adaptive execution split a hot key. The text is shuffled
+    once, by id, to meet the hashes it loses.
     """
     ids = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     lines = flat_map(ids, _explode(min_chars), ["doc_id", "text"], [("doc", T.LongType()), ("h1", T.LongType()), ("h2", T.LongType())])
     lines = materialise(lines, "lines")
     by_doc = lines.groupBy("h1", "h2", "doc").agg(F.lit(1).alias("one"))
     often = by_doc.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc").alias("last")).where(F.col("n") >= min_docs).select("h1", "h2", "last")
-    gone = lines.join(often, ["h1", "h2"]).where("doc <> last").groupBy("doc").agg(F.collect_set(F.struct("h1", "h2")).alias("__gone"))
-    joined = docs.join(gone.withColumnRenamed("doc", "__doc"), F.col(id_col).cast("long") == F.col("__doc"), "left").drop("__doc")
-    return map_columns(joined, _keep(min_chars), [text_col, "__gone"], docs.columns, [(text_col, T.StringType()), ("n_lines", T.LongType()), ("n_dropped", T.LongType())]).select(*[f"`{c}`" for c in docs.columns if c not in ("n_lines", "n_dropped")], "n_lines", "n_dropped")
+    often = small(materialise(often, "often"))
+    gone = lines.join(often, ["h1", "h2"]).where("doc <> last").groupBy(F.col("doc").alias("__line_doc")).agg(F.collect_set(F.struct("h1", "h2")).alias("__line_gone"))
+    joined = docs.join(gone, F.col(id_col).cast("long") == F.col("__line_doc"), "left").drop("__line_doc")
+    return map_columns(joined, _keep(min_chars), [text_col, "__line_gone"], docs.columns, [(text_col, T.StringType()), ("n_lines", T.LongType()), ("n_dropped", T.LongType())]).select(*[f"`{c}`" for c in docs.columns if c not in ("n_lines", "n_dropped")], "n_lines", "n_dropped")
