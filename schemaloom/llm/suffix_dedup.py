@@ -9,11 +9,11 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import flat_map, map_columns, materialise, release, to_bytes
+from .common import flat_map, map_columns, materialise, release, small, to_bytes
 
 #: Odd multiplier of the rolling hash, and a random value per byte.
 _R = 0x9E3779B97F4A7C15
@@ -275,6 +275,14 @@ def _strings(length: int):
     return make
 
 
+def _runs(offsets: Column) -> Column:
+    """Runs (lo, hi) of neighbouring offsets in an array of distinct ones."""
+    at = F.array_sort(offsets)
+    first = F.filter(at, lambda d: ~F.array_contains(at, d - 1))
+    last = F.filter(at, lambda d: ~F.array_contains(at, d + 1))
+    return F.zip_with(first, last, lambda lo, hi: F.struct(lo.alias("lo"), hi.alias("hi")))
+
+
 def _cut():
     def kernel(texts, spans):
         removed, runs, kept = [], [], []
@@ -314,7 +322,8 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
        equal cores are refined byte by byte to the right (common prefixes) and to the left (the characters before each
        suffix, as in a Burrows-Wheeler transform); equal strings are those in a common interval on both sides.
     Groups of over hot_rows anchors with one core aren't gathered: their distinct contexts, combined map-side, give a
-    key per string, and the keys are counted. Digests of 128 bits stand for cores and contexts.
+    key per string, and the keys are counted; the rows themselves stay in place where the hot cores and contexts are
+    counted to be few enough to be sent to all tasks. Digests of 128 bits stand for cores and contexts.
     """
     no_id = F.lit(-(1 << 63)).cast("long")
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -331,21 +340,23 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     big = materialise(members.groupBy("c1", "c2").agg(F.count("*").alias("n")).where(F.col("n") > hot_rows).select("c1", "c2"), "big")
     n_big = big.count()
     out_type = "id long, tk long, s long, e long"
-    cold = members
+    cold, hot_cores = members, small(big, 100_000)
     if n_big:
-        cold = members.join(F.broadcast(big) if n_big <= 100_000 else big, ["c1", "c2"], "left_anti").select(members.columns)
+        cold = members.join(hot_cores, ["c1", "c2"], "left_anti").select(members.columns)
     parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spans = cold.repartition(parts, "c1", "c2").sortWithinPartitions("c1", "c2", "u1", "u2").select("c1", "c2", "u1", "u2", "id", "tk", "a", "dmin", "dmax", "left", "right").mapInArrow(_solve(length), out_type)
     if n_big:
-        rows = members.join(big, ["c1", "c2"], "left_semi")
+        rows = members.join(hot_cores, ["c1", "c2"], "left_semi")
         classes = rows.groupBy("u1", "u2").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("c1", "c2", "dmin", "dmax", "left", "right")])
         keys = [("k1", T.LongType()), ("k2", T.LongType()), ("u1", T.LongType()), ("u2", T.LongType()), ("n", T.LongType()), ("d", T.IntegerType())]
         strings = materialise(flat_map(classes, _strings(length), ["c1", "c2", "u1", "u2", "n", "dmin", "dmax", "left", "right"], keys), "strings")
         twice = strings.groupBy("k1", "k2").agg(F.sum("n").alias("all")).where("all > 1").select("k1", "k2")
-        found = strings.join(twice, ["k1", "k2"], "left_semi").groupBy("u1", "u2").agg(F.collect_set("d").alias("ds"))
-        hit = rows.select("u1", "u2", "id", "tk", "a").join(found, ["u1", "u2"]).select("id", "tk", "a", F.explode("ds").alias("d"))
-        spans = spans.unionByName(hit.select("id", "tk", (F.col("a") - F.col("d")).alias("s"), (F.col("a") - F.col("d") + length).alias("e")))
-    copies = slim.join(texts.where("copies > 1").select("md"), "md").select("id", "tk", F.lit(0).cast("long").alias("s"), F.col("n").alias("e"))
+        found = strings.join(twice, ["k1", "k2"], "left_semi").groupBy("u1", "u2").agg(_runs(F.collect_set("d")).alias("runs"))
+        found = small(materialise(found, "found"))
+        hit = rows.select("u1", "u2", "id", "tk", "a").join(found, ["u1", "u2"]).select("id", "tk", "a", F.explode("runs").alias("r"))
+        spans = spans.unionByName(hit.select("id", "tk", (F.col("a") - F.col("r.hi")).alias("s"), (F.col("a") - F.col("r.lo") + length).alias("e")))
+    several = small(materialise(texts.where("copies > 1").select("md"), "several"))
+    copies = slim.join(several, "md").select("id", "tk", F.lit(0).cast("long").alias("s"), F.col("n").alias("e"))
     gone = spans.unionByName(copies).groupBy("id", "tk").agg(F.collect_set(F.struct("s", "e")).alias("spans")).select(F.col("id").alias("id2"), F.col("tk").alias("tk2"), "spans")
     joined = base.join(gone, (F.col("id") == F.col("id2")) & (F.col("tk") == F.col("tk2")), "left").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "text", "spans")
     fields = [("n_removed", T.LongType()), ("n_spans", T.LongType()), ("kept_sha256", T.StringType()), ("removed", T.ArrayType(T.ArrayType(T.LongType()))), ("kept", T.BinaryType())]
