@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_columns, materialise, to_bytes
+from .common import map_columns, materialise, release, to_bytes
 from .components import components
 
 #: Seed of the shingle hash.
@@ -94,6 +94,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     prints = materialise(fingerprints(docs, id_col, text_col, shingle), "prints")
     classes = materialise(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
     labels = components(near_links(classes)).withColumnRenamed("node", "rep")
-    named = classes.join(labels, "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    named = materialise(classes.join(labels, "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id")), "named")
+    release(classes)
     out = prints.join(named, "fp", "left")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
