@@ -1,24 +1,34 @@
-"""Near-dup components by similarity: MinHash bands bring texts together, shingle sets are compared exactly."""
+"""Near copies by similarity: SimHash codes of many bits, multi-index tables over their segments, distances and sets verified."""
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
 from fractions import Fraction
+from functools import cached_property, reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_columns, materialise, release, to_bytes
+from .common import flat_map, map_columns, materialise, release, to_bytes
 from .components import components
 from .simhash import SEED
 
-#: Bands and minima in each. Two texts of similarity 0.8 share no band with probability (1 - 0.8 ** 5) ** 40 = 1.3e-7.
-BANDS, ROWS = 40, 5
-#: Shingle hashes that meet all multipliers at a time, and star rounds before all pairs left over are compared.
-CHUNK, STARS = 2048, 4
+#: Share of the pairs at exactly the asked similarity that may have no table key in common.
+MISS = 0.004
+#: Odd multipliers: of the polynomial over the words of a shingle, and of the mixing step.
+_POLY, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+#: By how much the number of a bucket's pivots grows in each round.
+MORE = 8
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * _MIX
+    return x ^ (x >> np.uint64(29))
 
 
 def shingles(text: bytes, size: int) -> set[bytes]:
@@ -29,25 +39,119 @@ def shingles(text: bytes, size: int) -> set[bytes]:
     return {b" ".join(words[i : i + size]) for i in range(len(words) - size + 1)}
 
 
-def _sketch(size: int):
-    def make():
+def shingle_hashes(text: bytes, size: int) -> np.ndarray:
+    """The sorted 64-bit hashes of the shingle set: words are hashed once, shingles are polynomials over them."""
+    words = text.lower().split()
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    size = min(size, len(h))
+    if not size:
+        return h
+    out = np.full(len(h) - size + 1, size, np.uint64)
+    for k in range(size):
+        out = out * _POLY + h[k : k + len(out)]
+    return np.unique(_mix(out))
+
+
+@dataclass(frozen=True)
+class Tables:
+    """Segments of `width` bits, one table each. A code enters a table under its segment and those in the small ball that
+    flipping its `flips` least certain bits gives; two codes meet where they differ in such bits only."""
+
+    width: int
+    flips: int
+    similarity: float
+
+    @property
+    def turn(self) -> float:
+        """Share of bits in which two sets of the least similarity differ: the angle between their vectors, over pi."""
+        return math.acos(2 * self.similarity / (1 + self.similarity)) / math.pi
+
+    @cached_property
+    def count(self) -> int:
+        """Tables that leave a pair of the least similarity apart with probability MISS; how often one brings it
+        together is counted over 40,000 drawn pairs of correlated sums."""
         rng = np.random.default_rng(SEED)
-        mul = rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)[:, None] * np.uint64(2) + np.uint64(1)
-        add = rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)[:, None]
+        a, b = rng.standard_normal((2, 40_000, self.width))
+        cos = 2 * self.similarity / (1 + self.similarity)
+        b = cos * a + math.sqrt(1 - cos * cos) * b
+        apart = (a > 0) != (b > 0)
+        for x in (a, b):
+            np.put_along_axis(apart, np.argsort(np.abs(x), axis=1)[:, : self.flips], False, axis=1)
+        p = 1 - apart.any(axis=1).mean()
+        return max(1, math.ceil(math.log(MISS) / math.log1p(-min(p, 0.999))))
+
+    @property
+    def words(self) -> int:
+        return -(-self.width * self.count // 64)
+
+    def most(self, words: int) -> int:
+        """Differing bits, of so many words, within which all but one in thirty thousand pairs of the least similarity lie."""
+        bits, p = 64 * words, self.turn
+        return int(bits * p + 4 * math.sqrt(bits * p * (1 - p)))
+
+    @classmethod
+    def of_size(cls, n: int, similarity: float) -> Tables:
+        """Segments that grow with the logarithm of the rows, so that a key brings together few unlike codes at any size."""
+        width = max(16, math.ceil(math.log2(max(n, 2))) + 5)
+        return cls(width, width // 10, similarity)
+
+
+def bit_sums(hashes: np.ndarray, words: int) -> np.ndarray:
+    """Per bit of the code, in how many hashes it is set. A hash is widened to `words` words by multiplying and mixing."""
+    multipliers = np.random.default_rng(SEED).integers(0, 1 << 63, words, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    total = np.zeros(64 * words, np.int64)
+    for at in range(0, len(hashes), 255):
+        wide = _mix(hashes[at : at + 255, None] * multipliers)
+        total += np.add.reduce(np.unpackbits(wide.view(np.uint8), axis=1, bitorder="little"), axis=0, dtype=np.uint8)
+    return total
+
+
+def _sketch(size: int, tables: Tables):
+    """Per text: the digest and size of its shingle set, its code, and per segment the places of the least certain bits."""
+
+    def make():
+        count, width, flips, words = tables.count, tables.width, tables.flips, tables.words
 
         def kernel(texts):
-            digests, sizes, bands = [], [], []
-            for text in to_bytes(texts):
-                parts = shingles(text, size)
-                h = np.fromiter(map(xxhash.xxh64_intdigest, parts), np.uint64, len(parts))
-                h.sort()
-                low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-                for at in range(0, len(h), CHUNK):
-                    np.minimum(low, (mul * h[at : at + CHUNK] + add).min(axis=1), out=low)
-                digests.append(xxhash.xxh128_digest(h.tobytes(), SEED))
-                sizes.append(len(h))
-                bands.append([xxhash.xxh64_intdigest(b.tobytes(), i) - (1 << 63) for i, b in enumerate(low.reshape(BANDS, ROWS))] if len(h) else [])
-            return [pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
+            sets = [shingle_hashes(t, size) for t in to_bytes(texts)]
+            n = np.array([len(s) for s in sets], np.int64)
+            digests = [xxhash.xxh128_digest(s.tobytes(), SEED) for s in sets]
+            codes, weak = [], []
+            for at in range(0, len(sets), 256):
+                sums = np.array([bit_sums(s, words) for s in sets[at : at + 256]])
+                over = 2 * sums - n[at : at + 256, None]
+                codes.append(np.packbits(over > 0, axis=1, bitorder="little").view("<i8"))
+                parts = np.abs(over[:, : count * width]).reshape(-1, count, width)
+                weak.append(np.argsort(parts, axis=2, kind="stable")[:, :, :flips].astype(np.uint8).reshape(len(over), -1))
+            codes, weak = np.concatenate(codes), np.concatenate(weak)
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * words), pa.array(codes.ravel()))
+            return [pa.array(digests, pa.binary()), pa.array(n), flat, pa.array([w.tobytes() for w in weak], pa.binary())]
+
+        return kernel
+
+    return make
+
+
+def _keys(tables: Tables):
+    """A row per table key of a code: its segment, and those in the ball that flipping the least certain bits gives."""
+
+    def make():
+        count, width, flips, words = tables.count, tables.width, tables.flips, tables.words
+        powers = np.int64(1) << np.arange(width, dtype=np.int64)
+        table = np.arange(count, dtype=np.int64)[:, None] << width
+        patterns = (np.arange(1 << flips)[:, None] >> np.arange(flips)) & 1
+
+        def kernel(reps, codes, weak):
+            if not len(reps):
+                return None
+            code = codes.flatten().to_numpy().reshape(-1, words).view(np.uint8)
+            at = np.frombuffer(b"".join(weak.to_pylist()), np.uint8).reshape(-1, count, flips)
+            bits = np.unpackbits(code, axis=1, bitorder="little")[:, : count * width].reshape(-1, count, width)
+            own = np.zeros(bits.shape[:2], np.int64)
+            for i in range(width):
+                own |= bits[:, :, i].astype(np.int64) << i
+            keys = (own[:, :, None] ^ (powers[at] @ patterns.T) | table).reshape(len(own), -1)
+            return [pa.array(np.repeat(reps.to_numpy(), keys.shape[1])), pa.array(keys.ravel())]
 
         return kernel
 
@@ -78,38 +182,85 @@ def _alike(size: int, similarity: float):
 def near_dup_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, component_id) for each id: the smallest id reachable over pairs whose shingle sets have that Jaccard similarity.
 
-    Texts with equal sets are one class, named by its smallest id. Classes that share a band meet in a bucket, and each pair
-    of a bucket is compared on its shingles unless known to be in one component. First come rounds of stars: one pivot of a
-    bucket against the others, so that a large group of near copies gives rows in proportion to its size. What is still apart
-    after them is compared pair by pair. Rows without an id take part in no link and aren't listed.
+    Texts with equal sets are one class, named by its smallest id; wordless texts are such a class. Each class has a SimHash
+    code of about a thousand bits. Classes that share a table key are a bucket; the complete distance of two codes is
+    verified first, then the sets themselves, so every link is exact. A pair at just the asked similarity has no key in
+    common with probability MISS, a closer one with less. Rows without an id take part in no link and aren't listed;
+    rows that repeat an id are one node. Other columns aren't read.
+
+    A bucket is compared with one of its members, its pivot, not pairwise: that settles pairs, and buckets in which all come
+    to be of one component, so a large group of near copies gives rows in proportion to its size. Where some stay apart
+    from the bucket's main component, these are the pivots of further rounds, at most MORE of a bucket in the first and
+    MORE times as many in each later one, until every two members have been compared or are known to be of one component.
+    Components are carried on as stars, so that what is known already costs a row a text.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    sketches = materialise(map_columns(texts, _sketch(shingle), ["text"], ["doc_id"], [("digest", T.BinaryType()), ("n", T.LongType()), ("bands", T.ArrayType(T.LongType()))]), "sketches")
-    classes = materialise(sketches.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
-    keys = classes.select("rep", "n", F.explode("bands").alias("key"))
-    shared = keys.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
-    buckets = materialise(keys.join(shared, "key", "left_semi").withColumn("component", F.col("rep")), "buckets")
-    near = materialise(texts.join(buckets.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
-    links = sketches.join(classes.select("digest", "rep"), "digest").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    tables = Tables.of_size(texts.count(), similarity)
+    fields = [("digest", T.BinaryType()), ("n", T.LongType()), ("code", T.ArrayType(T.LongType())), ("weak", T.BinaryType())]
+    sketches = materialise(map_columns(texts, _sketch(shingle, tables), ["text"], ["doc_id"], fields), "sketches")
+    reps = materialise(sketches.groupBy("digest").agg(F.min("doc_id").alias("rep")), "reps")
+    links = sketches.select("digest", "doc_id").join(reps, "digest").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     links = materialise(links.distinct(), "links")
-    one = F.struct("rep", "n", "component")
-    for k in range(STARS + 1):
-        apart = buckets.groupBy("key").agg(F.min_by(one, F.xxhash64("rep", F.lit(k))).alias("x"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-        buckets = materialise(buckets.join(apart.select("key"), "key", "left_semi"), "buckets")
-        if buckets.isEmpty():
+    own = sketches.join(reps.withColumnRenamed("rep", "doc_id"), ["digest", "doc_id"], "left_semi")
+    classes = materialise(own.select(F.col("doc_id").alias("rep"), "n", "code", "weak"), "classes")
+    buckets = flat_map(classes.where("n > 0"), _keys(tables), ["rep", "code", "weak"], [("rep", T.LongType()), ("key", T.LongType())])
+    shared = materialise(buckets.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key"), "shared")
+    kept = materialise(buckets.join(shared.hint("merge"), "key", "left_semi"), "buckets")
+    pivots = materialise(kept.groupBy("key").agg(F.count("*").alias("m"), F.min(_turned("rep")).alias("p")).select("key", "m", _turned("p").alias("p")), "pivots")
+    met = materialise(kept.join(pivots, "key").where("rep <> p"), "met")
+    release(shared, kept, pivots)
+    pairs, left = met.select("rep", "p"), met.where("m > 2").select("key", "rep")
+    at_once, done = MORE, []
+    while True:
+        pairs = pairs.select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b")).distinct()
+        for old in done:
+            pairs = pairs.join(old, ["a", "b"], "left_anti")
+        done.append(materialise(pairs, "pairs"))
+        more = materialise(_links(done[-1], classes, texts, tables, shingle), "links")
+        labels = materialise(components(links.unionByName(more)), "labels")
+        release(more)
+        links = labels.select(F.col("component").alias("a"), F.col("node").alias("b")).where("a <> b")
+        left = left.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
+        sized = left.join(labels.groupBy("component").agg(F.count("*").alias("size")), "component", "left").fillna(1, ["size"])
+        mixed = sized.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max(F.struct("size", "component")).alias("most")).where("lo < hi")
+        rows = left.join(mixed.select("key", F.col("most.component").alias("main")), "key").withColumn("other", F.col("component") != F.col("main"))
+        rows = materialise(rows, "rows")
+        others = rows.where("other").groupBy("key").agg(F.count("*").alias("m"))
+        chosen = rows.where("other").join(others, "key").where(F.pmod(F.xxhash64("rep", F.lit(at_once)), F.col("m")) < at_once)
+        chosen = materialise(chosen.select("key", F.col("rep").alias("p"), F.col("component").alias("c")), "chosen")
+        release(met)
+        if rows.isEmpty():
             break
-        x = apart.select("key", "x") if k < STARS else buckets.select("key", one.alias("x"))
-        met = buckets.select("key", one.alias("y")).join(x, "key").where("x.component <> y.component")
-        met = met.where(F.greatest("x.n", "y.n") * similarity <= F.least("x.n", "y.n") + 1e-6)
-        pairs = materialise(met.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct(), "pairs")
-        both = pairs.join(near.toDF("a", "left"), "a").join(near.toDF("b", "right"), "b")
-        found = map_columns(both, _alike(shingle, similarity), ["left", "right"], ["a", "b"], [("alike", T.BooleanType())]).where("alike").select("a", "b")
-        links = materialise(links.unionByName(found).distinct(), "links")
-        release(pairs)
-        if k < STARS:
-            labels = materialise(components(links), "labels")
-            named = labels.select(F.col("node").alias("rep"), F.col("component").alias("c"))
-            buckets = materialise(buckets.join(named, "rep", "left").select("key", "rep", "n", F.coalesce("c", "component").alias("component")), "buckets")
-    labels = components(links).withColumnRenamed("node", "doc_id")
+        met, at_once = rows, MORE * at_once
+        pairs = rows.join(chosen, "key").where("component <> c").select("rep", "p")
+        left = rows.join(chosen.select("key", F.col("p").alias("rep")), ["key", "rep"], "left_anti").select("key", "rep")
+    release(classes, reps, *done)
     ids = sketches.select("doc_id").distinct()
-    return ids.join(labels, "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))
+    return ids.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def _turned(name: str) -> Column:
+    """An id with some bits turned over, and back: the least by this order is a bucket's pivot, whatever its rank by id."""
+    return F.col(name).bitwiseXOR(F.lit(0x2545F4914F6CDD1D))
+
+
+def _within(x: Column, y: Column, words: int, tables: Tables) -> Column:
+    return reduce(lambda s, i: s + F.bit_count(x[i].bitwiseXOR(y[i])), range(words), F.lit(0)) <= tables.most(words)
+
+
+def _links(pairs: DataFrame, classes: DataFrame, texts: DataFrame, tables: Tables, shingle: int) -> DataFrame:
+    """The pairs (a, b) that are similar: sizes and the distance of two words of the codes, then the complete distance, which
+    is left to few, then the sets themselves."""
+    x, y = F.col("x"), F.col("y")
+    some = classes.select("rep", "n", F.slice("code", 1, 2).alias("code"))
+    close = pairs.join(some.toDF("a", "n", "x"), "a").join(some.toDF("b", "m", "y"), "b")
+    close = close.where(F.greatest("n", "m") * tables.similarity <= F.least("n", "m") + 1e-6).where(_within(x, y, 2, tables)).select("a", "b")
+    whole = classes.select("rep", "code")
+    first = materialise(close, "close")
+    close = first.join(whole.toDF("a", "x"), "a").join(whole.toDF("b", "y"), "b").where(_within(x, y, tables.words, tables))
+    close = materialise(close.select("a", "b"), "close")
+    release(first)
+    ends = close.select(F.col("a").alias("doc_id")).unionByName(close.select(F.col("b").alias("doc_id"))).distinct()
+    near = materialise(texts.join(ends, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    sides = close.join(near.toDF("a", "left"), "a").join(near.toDF("b", "right"), "b")
+    return map_columns(sides, _alike(shingle, tables.similarity), ["left", "right"], ["a", "b"], [("alike", T.BooleanType())]).where("alike").select("a", "b")
