@@ -12,13 +12,15 @@ def dedupe(occurrences: DataFrame, schema: str = "schema", category: str = "cate
     """occurrences -> per content hash: tool_hash, schema (of the first by order), categories, occurrences, renamed.
 
     Python's type names are mapped first, so that definitions that differ in them alone are one. The hash is of
-    canonical JSON. The kernel runs on distinct texts' rows once, then one hash aggregation combines map-side.
+    canonical JSON. Equal texts are counted first, map-side, so that the kernels see each distinct text once.
     """
-    mapped = occurrences.withColumns({"__c": K.map_aliases(F.col(schema)), "__raw": K.canonical_json(F.col(schema))})
+    texts = occurrences.groupBy(F.col(schema).alias("__text")).agg(F.collect_set(category).alias("__in"), F.count("*").alias("__n"), F.min(order).alias("__first"))
+    mapped = texts.withColumns({"__c": K.map_aliases(F.col("__text")), "__raw": K.canonical_json(F.col("__text"))})
+    categories = F.array_sort(F.array_distinct(F.flatten(F.collect_list("__in"))))
     return (
         mapped.withColumn("tool_hash", F.sha2("__c", 256))
         .groupBy("tool_hash")
-        .agg(F.min_by("__c", order).alias("schema"), F.array_sort(F.collect_set(category)).alias("categories"), F.count("*").alias("occurrences"), F.count_if(F.col("__c") != F.col("__raw")).alias("renamed"))
+        .agg(F.min_by("__c", "__first").alias("schema"), categories.alias("categories"), F.sum("__n").alias("occurrences"), F.sum(F.when(F.col("__c") != F.col("__raw"), F.col("__n")).otherwise(0)).alias("renamed"))
     )
 
 

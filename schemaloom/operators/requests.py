@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .prompts import native_name
+
 #: Sampling settings of all requests.
 TEMPERATURE, TOP_P, MAX_TOKENS = 0.0, 1.0, 512
 
@@ -33,14 +35,15 @@ def chat_body(model: Column, system: Column, user: Column, tools: Column | None
     return F.to_json(F.struct(*head, *tail))
 
 
-def native_tools(provider: str, tools: Column) -> Column:
-    """tools: array<struct<name, description, parameters>>, in a provider's shape."""
+def native_tools(provider: str, tools: Column, renames: Column | None = None) -> Column:
+    """tools: array<struct<name, description, parameters>>, in a provider's shape; where renames, names have no dots."""
+    name = lambda t: native_name(t["name"], F.lit(False) if renames is None else renames).alias("name")
     text = lambda t: F.coalesce(t["description"], F.lit("")).alias("description")
     if provider == "openai":
-        return F.transform(tools, lambda t: F.struct(F.lit("function").alias("type"), t["name"].alias("name"), text(t), t["parameters"].alias("parameters"), F.lit(False).alias("strict")))
+        return F.transform(tools, lambda t: F.struct(F.lit("function").alias("type"), name(t), text(t), t["parameters"].alias("parameters"), F.lit(False).alias("strict")))
     if provider == "anthropic":
-        return F.transform(tools, lambda t: F.struct(t["name"].alias("name"), text(t), t["parameters"].alias("input_schema")))
-    return F.transform(tools, lambda t: F.struct(F.lit("function").alias("type"), F.struct(t["name"].alias("name"), text(t), t["parameters"].alias("parameters")).alias("function")))
+        return F.transform(tools, lambda t: F.struct(name(t), text(t), t["parameters"].alias("input_schema")))
+    return F.transform(tools, lambda t: F.struct(F.lit("function").alias("type"), F.struct(name(t), text(t), t["parameters"].alias("parameters")).alias("function")))
 
 
 BODIES = {"openai": openai_body, "anthropic": anthropic_body, "qwen": chat_body}
@@ -49,12 +52,14 @@ BODIES = {"openai": openai_body, "anthropic": anthropic_body, "qwen": chat_body}
 def request_bodies(rows: DataFrame) -> DataFrame:
     """rows(provider, condition, model, tool_prompt, system_text, user_text, tools) -> also body; null where skipped.
 
-    Prompt arms put the embedded system text before the tool prompt; the native arm sends it beside the tools.
+    Prompt arms put the embedded system text before the tool prompt; the native arm sends it beside the tools, whose
+    names lose their dots where a column renames is there and true, as the expected calls' names do.
     """
     body = F.lit(None).cast("string")
+    renames = F.coalesce(F.col("renames"), F.lit(False)) if "renames" in rows.columns else None
     system = F.coalesce(F.concat(F.col("system_text"), F.lit("\n\n"), F.col("tool_prompt")), F.col("tool_prompt"))
     for name, make in BODIES.items():
-        native = make(F.col("model"), F.col("system_text"), F.col("user_text"), native_tools(name, F.col("tools")))
+        native = make(F.col("model"), F.col("system_text"), F.col("user_text"), native_tools(name, F.col("tools"), renames))
         plain = make(F.col("model"), system, F.col("user_text"))
         body = F.when(F.col("provider") == name, F.when(F.col("condition") == "c", native).when(F.col("tool_prompt").isNotNull(), plain)).otherwise(body)
     return rows.withColumn("body", body)

@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 
 from .closure import reference_closure
 
+#: The rules in the order in which they are checked.
+RULES = (
+    "required_default", "dangling_reference", "no_tool", "empty_definitions", "definition_name", "mixed_union", "mixed_enum", "crossed_bounds",
+    "duplicate_field", "duplicate_definition", "unused_definition", "duplicate_tool",
+)
 _SHAPE = ["doc_id", "tool_ord", "level", "rule", "section", "subject"]
 
 
@@ -58,12 +63,13 @@ def findings(nodes: DataFrame) -> DataFrame:
 
 def finalised(nodes: DataFrame, found: DataFrame) -> DataFrame:
     """(doc_id, tool_ord, raw, reason): which tools end raw. A document with a raw tool is left as it is; elsewhere a tool
-    with an error of its own, or in its document's definitions, becomes raw for the first such rule by name."""
+    with an error of its own, or in its document's definitions, becomes raw for the first such rule in the order of RULES."""
     tools = nodes.where(F.col("kind").isin("tool", "raw")).select("doc_id", "tool_ord", (F.col("kind") == "raw").alias("was_raw"))
     tools = tools.withColumn("some_raw", F.max("was_raw").over(W.partitionBy("doc_id")))
     errors = found.where("level = 'error'")
-    own = errors.where("tool_ord >= 0").groupBy("doc_id", "tool_ord").agg(F.min("rule").alias("own"))
-    shared = errors.where("tool_ord < 0 or tool_ord is null").groupBy("doc_id").agg(F.min("rule").alias("shared"))
+    at = F.array_position(F.array(*[F.lit(r) for r in RULES]), F.col("rule"))
+    own = errors.where("tool_ord >= 0").groupBy("doc_id", "tool_ord").agg(F.min_by("rule", at).alias("own"))
+    shared = errors.where("tool_ord < 0 or tool_ord is null").groupBy("doc_id").agg(F.min_by("rule", at).alias("shared"))
     out = tools.join(own, ["doc_id", "tool_ord"], "left").join(shared, "doc_id", "left")
     reason = F.when(~F.col("some_raw"), F.coalesce("own", "shared"))
     return out.select("doc_id", "tool_ord", (F.col("was_raw") | reason.isNotNull()).alias("raw"), reason.alias("reason"))

@@ -98,7 +98,7 @@ _STATS = "count(*) AS n, round(avg(saving), 6) AS mean, round(min(saving), 6) AS
 _SIZES = ", ".join(f"({n})" for n in SIZES)
 _CURVE = f"""pool AS (SELECT p_partkey - (SELECT min(p_partkey) FROM part) AS idx, p_size * 7 + 40 AS j, p_size * 4 + 30 AS c, p_size % 3 = 0 AS f1, p_size % 5 = 0 AS f2 FROM part),
 drawn AS (SELECT n, trial, ('0x' || substr(md5('42|' || n || '|' || trial || '|' || slot), 1, 8))::BIGINT % (SELECT count(*) FROM part) AS idx
-  FROM (VALUES {_SIZES}) s(n), range(200) t(trial), LATERAL (SELECT unnest(range(1, n + 1)) AS slot)),
+  FROM (VALUES {_SIZES}) s(n), range(1000) t(trial), LATERAL (SELECT unnest(range(1, n + 1)) AS slot)),
 per AS (SELECT n, trial, sum(j) AS j, sum(c) AS c, bool_or(f1) AS f1, bool_or(f2) AS f2 FROM drawn JOIN pool USING (idx) GROUP BY n, trial),
 cost AS (SELECT n, trial, j, c, 300 + CASE WHEN f1 THEN 220 ELSE 0 END + CASE WHEN f2 THEN 115 ELSE 0 END AS o, 'calibrated' AS arm FROM per UNION ALL SELECT n, trial, j, c, 635, 'full' FROM per),
 curve AS (SELECT arm, n, avg(j) AS mean_json, avg(c + o) AS mean_compact, avg(CASE WHEN c + o < j THEN 1.0 ELSE 0.0 END) AS win_rate, avg(o) AS mean_overhead FROM cost GROUP BY arm, n),
@@ -155,12 +155,12 @@ def oracles() -> dict[str, str]:
       b AS (SELECT *, CASE WHEN condition = 'c' THEN system_text ELSE coalesce(system_text || chr(10) || chr(10) || tool_prompt, tool_prompt) END AS s FROM a)
       SELECT 'r' || conv_id || '-' || provider || '-' || condition AS custom_id, CASE provider
       WHEN 'openai' THEN '{{"model":"m","reasoning":{{"effort":"none"}},"text":{{"verbosity":"medium"}},"temperature":0.0,"top_p":1.0,"max_output_tokens":512,"store":true,' || CASE WHEN condition = 'c'
-        THEN '"input":[' || {sys_of("'developer'", 's')} || {user} || '],"tools":[{{"type":"function","name":"do.it","description":"","parameters":{{"type":"object"}},"strict":false}}],"tool_choice":"auto"}}'
+        THEN '"input":[' || {sys_of("'developer'", 's')} || {user} || '],"tools":[{{"type":"function","name":"do_it","description":"","parameters":{{"type":"object"}},"strict":false}}],"tool_choice":"auto"}}'
         ELSE '"instructions":' || to_json(s) || ',"input":' || to_json(user_text) || '}}' END
       WHEN 'anthropic' THEN '{{"model":"m","max_tokens":512,"temperature":0.0,"thinking":{{"type":"disabled"}},"messages":[' || {user} || ']' || CASE WHEN s IS NOT NULL THEN ',"system":' || to_json(s) ELSE '' END
-        || CASE WHEN condition = 'c' THEN ',"tools":[{{"name":"do.it","description":"","input_schema":{{"type":"object"}}}}],"tool_choice":{{"type":"auto"}}}}' ELSE '}}' END
+        || CASE WHEN condition = 'c' THEN ',"tools":[{{"name":"do_it","description":"","input_schema":{{"type":"object"}}}}],"tool_choice":{{"type":"auto"}}}}' ELSE '}}' END
       ELSE '{{"model":"m","messages":[' || {sys_of("'system'", 's')} || {user} || '],"temperature":0.0,"top_p":1.0,"max_tokens":512,"reasoning":{{"effort":"none"}}'
-        || CASE WHEN condition = 'c' THEN ',"tools":[{{"type":"function","function":{{"name":"do.it","description":"","parameters":{{"type":"object"}}}}}}],"tool_choice":"auto"}}' ELSE '}}' END END AS body FROM b"""
+        || CASE WHEN condition = 'c' THEN ',"tools":[{{"type":"function","function":{{"name":"do_it","description":"","parameters":{{"type":"object"}}}}}}],"tool_choice":"auto"}}' ELSE '}}' END END AS body FROM b"""
     out["s_batches"] = "SELECT count(DISTINCT conv_id) * 9 AS n, 0::BIGINT AS not_json, 0::BIGINT AS repeated_ids, 0::BIGINT AS bad_ids, true AS ok FROM conversations"
     out["s_catalog_files"] = "SELECT 'e' || (p_partkey % 100) AS entry, count(*) AS n, (count(*) - 1)::INT AS last FROM part GROUP BY 1"
     out["s_csv"] = "SELECT n_nationkey, n_name, n_regionkey FROM nation"

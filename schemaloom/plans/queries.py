@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import kernels as K
 from ..functions.tokens import bpe_counter
 from ..operators import breakeven, catalog, closure, distributions, equivalence, extract, inference, ingest, plan, prompts, requests, scoring, validate
+from ..operators.storage import shared_folder
 from ..sources import files
 from ..streaming import resume
 from . import derived as D
@@ -23,8 +23,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def scratch(spark: SparkSession, label: str) -> str:
     """A new folder in the shared place."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="schemaloom-")
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def tools(spark, sf_dir) -> DataFrame:
@@ -77,8 +76,11 @@ def t_bpe_savings(spark, sf_dir):
 
 def n_options(spark, sf_dir):
     """Closing and renaming, counted over occurrences."""
-    c = D.occurrences(spark, sf_dir).select(K.convert_schema(F.col("schema"), True, True).alias("c"))
-    return c.agg(F.sum("c.renamed_float").alias("floats"), F.sum("c.renamed_dict").alias("dicts"), F.sum("c.renamed_tuple").alias("tuples"), F.sum("c.renamed_any").alias("anys"), F.sum(F.size("c.closed")).alias("closed"), F.sum(F.size("c.touched")).alias("touched"))
+    texts = D.occurrences(spark, sf_dir).groupBy("schema").agg(F.count("*").alias("n"))
+    c = texts.select("n", K.convert_schema(F.col("schema"), True, True).alias("c"))
+    total = lambda x, name: F.sum(F.col("n") * x).alias(name)
+    renamed = [total(F.col(f"c.renamed_{t}"), f"{t}s") for t in ("float", "dict", "tuple", "any")]
+    return c.agg(*renamed, total(F.size("c.closed"), "closed"), total(F.size("c.touched"), "touched"))
 
 
 def w_text(spark, sf_dir):
@@ -167,7 +169,7 @@ def _requests(spark, sf_dir) -> DataFrame:
     q = prompts.question_parts(table(spark, sf_dir, "conversations")).select("conv_id", "system_text", "user_text")
     arms = F.explode(F.array(*[F.struct(F.lit(p).alias("provider"), F.lit(c).alias("condition")) for p in requests.BODIES for c in "abc"]))
     tool = F.array(F.struct(F.lit("do.it").alias("name"), F.lit(None).cast("string").alias("description"), F.struct(F.lit("object").alias("type")).alias("parameters")))
-    r = q.withColumn("x", arms).select(F.col("conv_id").alias("entry_id"), "x.provider", "x.condition", F.lit("m").alias("model"), F.when(F.col("x.condition") == "a", "tools A").when(F.col("x.condition") == "b", "tools B").alias("tool_prompt"), "system_text", "user_text", tool.alias("tools"))
+    r = q.withColumn("x", arms).select(F.col("conv_id").alias("entry_id"), "x.provider", "x.condition", F.lit("m").alias("model"), F.when(F.col("x.condition") == "a", "tools A").when(F.col("x.condition") == "b", "tools B").alias("tool_prompt"), "system_text", "user_text", tool.alias("tools"), F.lit(True).alias("renames"))
     return requests.request_bodies(r).withColumn("custom_id", F.concat(F.lit("r"), F.col("entry_id"), F.lit("-"), F.col("provider"), F.lit("-"), F.col("condition")))
 
 

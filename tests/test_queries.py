@@ -188,6 +188,29 @@ def test_request_bodies_of_all_kinds(spark):
         assert system == want
 
 
+def test_native_names_lose_their_dots_where_asked(spark):
+    import json
+
+    tools = F.array(F.struct(F.lit("do.it").alias("name"), F.lit(None).cast("string").alias("description"), F.struct(F.lit("object").alias("type")).alias("parameters")))
+    df = spark.createDataFrame([(p, r) for p in requests.BODIES for r in (True, False, None)], "provider string, renames boolean").select("*", F.lit("c").alias("condition"), F.lit("m").alias("model"), F.lit(None).cast("string").alias("tool_prompt"), F.lit(None).cast("string").alias("system_text"), F.lit("hi").alias("user_text"), tools.alias("tools"))
+    for x in requests.request_bodies(df).collect():
+        tool = json.loads(x.body)["tools"][0]
+        assert tool.get("function", tool)["name"] == ("do_it" if x.renames else "do.it")
+
+
+def test_the_reason_is_the_first_rule_checked(spark):
+    nodes = catalog.text_table(spark.createDataFrame([(1, "t\n  a* integer =1\n  b integer[5,1]\n  b string\n  c $Nope")], "doc int, text string"), "doc", "text")
+    found = validate.findings(nodes)
+    assert {x.rule for x in found.collect()} == {"required_default", "crossed_bounds", "duplicate_field", "dangling_reference"}
+    assert [x.reason for x in validate.finalised(nodes, found).collect()] == ["required_default"]
+
+
+def test_dedupe_counts_texts_before_reading_them(spark):
+    rows = [('{"name": "a", "type": "dict"}', "x", 3), ('{"type":"dict","name":"a"}', "y", 1), ('{"type":"dict","name":"a"}', "x", 2), ('{"type":"object","name":"a"}', "z", 9)]
+    got = catalog.dedupe(spark.createDataFrame(rows, "schema string, category string, ord int")).collect()
+    assert [(x.occurrences, x.categories, x.renamed) for x in got] == [(4, ["x", "y", "z"], 3)]
+
+
 def test_native_names(spark):
     got = spark.createDataFrame([("a.b.c", True), ("a.b", False)], "n string, r boolean").select(prompts.native_name(F.col("n"), F.col("r")).alias("n")).collect()
     assert [x.n for x in got] == ["a_b_c", "a.b"]
