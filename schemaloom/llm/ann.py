@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise
@@ -23,10 +24,6 @@ class Codes:
     scale: float
     radius: int
 
-    @property
-    def subs(self) -> int:
-        return self.rotations.shape[2] // SUB_BITS
-
     def codes(self, x: np.ndarray, query: bool) -> np.ndarray:
         """16-bit substrings of the vectors. Inner product becomes angle by one more coordinate: base vectors, divided by
         the largest norm, are filled up to norm 1; queries get 0 there."""
@@ -84,6 +81,8 @@ class Tables:
         some substring (pigeonhole), so the balls of that radius around each substring miss none."""
         subs = self.codes.shape[1]
         ball = self.BALL[: self.BALL_SIZE[min(SUB_BITS, radius // subs)]]
+        if len(ball) >= len(self.codes):  # balls with more keys than there are rows: complete distances are fewer
+            return np.flatnonzero(np.bitwise_count(self.codes ^ code).sum(axis=1) <= radius)
         seen = np.zeros(len(self.codes), bool)
         for s in range(subs):
             keys = (ball ^ code[s]).astype(np.int64)
@@ -95,29 +94,46 @@ class Tables:
         rows = np.flatnonzero(seen)
         return rows[np.bitwise_count(self.codes[rows] ^ code).sum(axis=1) <= radius]
 
-    def at_least(self, code: np.ndarray, radius: int, n: int) -> np.ndarray:
-        """Rows within the radius, which grows until it holds n rows or all."""
-        while True:
-            rows = self.within(code, radius)
-            if len(rows) >= min(n, len(self.codes)) or radius >= SUB_BITS * len(code):
-                return rows
-            radius += max(1, SUB_BITS * len(code) // 16)
+
+def _best(scored: Iterable[tuple[float, int]], k: int) -> list[tuple[float, int]]:
+    """The k best (negated score, id), each id once."""
+    out: dict[int, float] = {}
+    for s, i in sorted(scored):
+        if i not in out:
+            out[i] = s
+            if len(out) == k:
+                break
+    return [(s, i) for i, s in out.items()]
 
 
-def _search(codes: Codes, k: int):
+def _nearest_in(tables: Tables, x: np.ndarray, members: list[list[int]], radius: int, own: int, v: np.ndarray, code: np.ndarray, k: int):
+    """The k best ids among the rows within the radius, which grows until it holds so many or all rows."""
+    while True:
+        rows, need = tables.within(code, radius), k + 1
+        score = x[rows] @ v
+        while True:
+            # all rows that tie with the last one stay
+            top = np.arange(len(rows)) if len(rows) <= need else np.flatnonzero(score >= np.partition(score, -need)[-need])
+            found = _best(((-s, i) for s, r in zip(score[top].tolist(), rows[top].tolist(), strict=True) for i in members[r] if i != own), k)
+            if len(found) == k or len(top) == len(rows):
+                break
+            need *= 2
+        if len(found) == k or len(rows) == len(x):
+            return found
+        radius += max(1, SUB_BITS * len(code) // 16)
+
+
+def _search(codes: dict[int, Codes], k: int):
     def run(base: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out = {"query_id": [], "vec_id": [], "score": []}
         if len(base) and len(queries):
+            own = codes[int(base["dim"].iloc[0])]
             x = np.stack(base["v"].to_numpy()).astype(np.float64)
             q = np.stack(queries["v"].to_numpy()).astype(np.float64)
-            tables, qc = Tables(codes.codes(x, False)), codes.codes(q, True)
+            tables, qc = Tables(own.codes(x, False)), own.codes(q, True)
             members = base["ids"].tolist()
             for qid, v, c in zip(queries["query_id"].tolist(), q, qc, strict=True):
-                rows = tables.at_least(c, codes.radius, k + 1)
-                score = x[rows] @ v
-                if len(rows) > k + 1:  # all classes that tie with the last one stay
-                    rows, score = rows[keep := score >= np.partition(score, -(k + 1))[-(k + 1)]], score[keep]
-                found = sorted((-s, i) for s, r in zip(score.tolist(), rows.tolist(), strict=True) for i in members[r] if i != qid)[:k]
+                found = _nearest_in(tables, x, members, own.radius, qid, v, c, k)
                 out["query_id"] += [qid] * len(found)
                 out["vec_id"] += [i for _, i in found]
                 out["score"] += [-s for s, _ in found]
@@ -128,44 +144,54 @@ def _search(codes: Codes, k: int):
 
 def nearest(
     vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", every: int = 20, k: int = 20, sample: int = 20_000,
-    target: float = 0.97, shard_rows: int = 1 << 16, query_rows: int = 512,
+    target: float = 0.97, shard_rows: int = 1 << 13, query_rows: int = 1 << 13,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose id `every` divides, its k nearest by inner product.
 
-    Vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do rows without an id;
-    an id that repeats keeps its largest vector (by array order). Vectors are compared within their dimension. Fewer
-    than k others: all of them. Ties go to the smaller id. Every row is indexed; only the rotations and the radius are
-    learned, from at most about `sample` rows by a hash of the id. Equal vectors are one index entry with their k + 1
-    smallest ids, which is all that a list of k can show of them, so a hot vector costs no more than another.
+    Vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do rows without an id.
+    All vectors of an id that repeats are candidates, the id being listed once with its best; it asks with its largest
+    vector (by array order). Vectors are compared within their dimension. Fewer than k others: all of them. Ties go to the
+    smaller id. Every row is indexed; only the rotations and the radius are learned, from at most about `sample` rows by
+    a hash of the id, the dimensions sharing it. Equal vectors are one index entry with their k + 1 smallest ids, which is
+    all that a list of k can show of them, so a hot vector costs no more than another. Other columns aren't read.
 
     Shards of the index (at most about shard_rows entries) meet blocks of queries; each meeting returns its k best and a
     partial top-k joins them. What is within the radius is complete (pigeonhole); what lies beyond is the approximation.
+    A shard is copied once per block and a block once per shard, so with sides of equal size the copies are fewest.
     """
     v = F.col(vec_col).cast("array<double>")
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).where("vec_id is not null and v is not null")
     fine = F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists("v", lambda e: e != 0)
-    rows = rows.where(fine).groupBy("vec_id").agg(F.max("v").alias("v"))
-    rows = materialise(rows.withColumn("dim", F.size("v")), "vectors")
+    rows = rows.where(fine).withColumn("dim", F.size("v"))
     ids = F.slice(F.array_sort(F.collect_set("vec_id")), 1, k + 1)
     # equal vectors: first per salt, then over salts, so that no task gathers all ids of a hot vector
     salted = rows.groupBy("dim", "v", F.pmod(F.xxhash64("vec_id"), F.lit(64)).alias("salt")).agg(ids.alias("ids"))
     classes = materialise(salted.groupBy("dim", "v").agg(F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, k + 1).alias("ids")), "classes")
+    asked = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.max("v").alias("v"))
+    asked = materialise(asked.select(F.col("vec_id").alias("query_id"), F.size("v").alias("dim"), "v"), "asked")
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, e: a + e * e))
-    out = None
-    for dim in classes.groupBy("dim").agg(F.count("*").alias("n"), F.max(norm).alias("scale")).orderBy("dim").collect():
-        own = classes.where(F.col("dim") == dim.dim)
-        part = own if dim.n <= sample else own.where(F.pmod(F.xxhash64(F.element_at("ids", 1)), F.lit(1 << 30)) < int((1 << 30) * sample / dim.n))
-        fit = np.array([r.v for r in part.orderBy(F.element_at("ids", 1)).select("v").collect()], dtype=np.float64)
-        codes = learn_codes(fit, max(float(dim.scale), 1e-300), k, target)
-        q = rows.where((F.col("dim") == dim.dim) & (F.col("vec_id") % every == 0)).select(F.col("vec_id").alias("query_id"), "v")
-        shards = max(1, -(-dim.n // shard_rows))
-        blocks = max(1, -(-q.count() // query_rows))
-        spread = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-        base = own.select(spread(F.element_at("ids", 1), shards).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "v", "ids")
-        asked = q.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), spread(F.col("query_id"), blocks).alias("block"), "query_id", "v")
-        found = base.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInPandas(_search(codes, k), "query_id long, vec_id long, score double")
-        out = found if out is None else out.unionByName(found)
-    if out is None:
+    dims = {r.dim: r for r in classes.groupBy("dim").agg(F.count("*").alias("n"), F.max(norm).alias("scale")).collect()}
+    n_asked = {r.dim: r["n"] for r in asked.groupBy("dim").agg(F.count("*").alias("n")).collect()}
+    if not n_asked:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    best = out.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k).alias("best"))
+    share, least = sample / len(dims), F.element_at("ids", 1)
+    chosen = F.pmod(F.xxhash64(least), F.lit(1 << 30)) < _by_dim({d: int((1 << 30) * min(1.0, share / r.n)) for d, r in dims.items()})
+    fit: dict[int, list] = {d: [] for d in dims}
+    for r in classes.where(chosen).orderBy("dim", least).select("dim", "v").collect():
+        fit[r.dim].append(r.v)
+    codes = {d: learn_codes(np.array(fit[d], dtype=np.float64).reshape(-1, d), max(float(dims[d].scale), 1e-300), k, target) for d in n_asked}
+    shards = _by_dim({d: max(1, -(-dims[d].n // shard_rows)) for d in n_asked})
+    blocks = _by_dim({d: max(1, -(-n // query_rows)) for d, n in n_asked.items()})
+    each = lambda n: F.explode(F.sequence(F.lit(0), (n - 1).cast("int")))
+    base = classes.where(shards.isNotNull()).select("dim", F.pmod(F.xxhash64(least), shards).cast("int").alias("shard"), each(blocks).alias("block"), "v", "ids")
+    asked = asked.select("dim", each(shards).alias("shard"), F.pmod(F.xxhash64("query_id"), blocks).cast("int").alias("block"), "query_id", "v")
+    meet = ["dim", "shard", "block"]
+    found = base.groupBy(*meet).cogroup(asked.groupBy(*meet)).applyInPandas(_search(codes, k), "query_id long, vec_id long, score double")
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    best = found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k).alias("best"))
     return best.select("query_id", F.posexplode("best").alias("p", "b")).select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.s")).alias("score"))
+
+
+def _by_dim(values: dict[int, int]) -> Column:
+    """A number by the column dim, null for others."""
+    return F.element_at(F.create_map(*[F.lit(x).cast("long") for pair in values.items() for x in pair]), F.col("dim").cast("long"))
