@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .boosting import fit_isotonic, fit_trees
-from .common import map_columns, to_bytes
+from .common import map_columns, materialise, release, to_bytes
 from .labelled import held_out, training_labels
 
 _UPPER = bytes(range(65, 91))
@@ -155,16 +155,20 @@ def quality(
     documented samples, by a hash of the id); every document is scored from its whole text. Three quarters of the
     labelled rows train the views, the rest calibrates and combines them. Null and empty texts are scored like any
     other, null or unseen sources and languages at the overall rate. Without labels of both classes, scores are the
-    smoothed base rate. Rows that repeat an id are scored each. Result names replace input columns of the same name.
+    smoothed base rate. Rows that repeat an id are scored each; for the fit an id counts once. Result names replace input
+    columns of the same name, and a column called __id must not be docs' own.
     The joins send bounded samples of ids to the documents; documents aren't shuffled.
     """
     sample = training_labels(labels, label, bound)
     slim = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("text"), F.col(source_col).cast("string").alias("source"), F.col(lang_col).cast("string").alias("lang"))
     known = slim.join(F.broadcast(sample.withColumnRenamed("doc_id", "__id")), "__id")
-    known = known.withColumn("part", F.pmod(F.xxhash64("__id", F.lit("quality")), F.lit(4)).cast("int"))
+    # an id counts once, with its least row, so that what is fitted stays bounded however often an id repeats
+    one = lambda df: df.groupBy("__id", "y").agg(F.min(F.struct("text", "source", "lang")).alias("r")).select("__id", "y", "r.*")
+    known = one(known).withColumn("part", F.pmod(F.xxhash64("__id", F.lit("quality")), F.lit(4)).cast("int"))
     n_docs = max(1, slim.count())
     chosen = F.pmod(F.xxhash64("__id", F.lit("pool")), F.lit(1 << 30)) < int(min(1.0, pool / n_docs) * (1 << 30))
-    free = slim.where(chosen & ~held_out(F.col("__id"))).withColumns({"y": F.lit(-1), "part": F.lit(0)})
+    free = one(slim.where(chosen & ~held_out(F.col("__id"))).withColumn("y", F.lit(-1))).withColumn("part", F.lit(0))
+    known = materialise(known, "labelled")
     rate_rows = known.where("part > 0").groupBy("source", "lang").agg(F.count("*").alias("n"), F.sum((F.col("y") > 0).cast("int")).alias("k")).collect()  # no more groups than sampled rows
     rates = _rates(rate_rows)
     fields = [("a", T.ArrayType(T.DoubleType())), ("b", T.ArrayType(T.DoubleType()))]
@@ -172,6 +176,7 @@ def quality(
     got = got.sort_values(["__id", "y"], kind="stable")
     a, b = np.array(got["a"].tolist(), float).reshape(-1, len(CONTENT)), np.array(got["b"].tolist(), float).reshape(-1, len(METADATA))
     y, part = got["y"].to_numpy(), got["part"].to_numpy()
+    release(known)
     labelled = y >= 0
     unlabelled = ~labelled & ~np.isin(got["__id"].to_numpy(), got["__id"].to_numpy()[labelled])
     fit, held = labelled & (part > 0), labelled & (part == 0)
