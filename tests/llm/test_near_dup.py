@@ -59,3 +59,40 @@ def test_stage_drops_near_copies_beyond_two_bits(spark):
     texts = {1: " ".join(w), 2: " ".join(near), 3: " ".join(far)}
     assert (brute_fingerprint(texts[1]) ^ brute_fingerprint(texts[2])).bit_count() > 2
     assert sorted(x.doc_id for x in corpus_pipeline.near_dup_stage(spark, docs_frame(spark, [*texts.items(), (None, texts[1])]), "").collect() if x.doc_id) == [1, 3]
+
+
+def test_pairs_at_the_bound_meet_in_a_table():
+    """Codes of correlated sums: of pairs at a similarity of 0.8, about MISS share no key, and few are farther than the bound."""
+    import numpy as np
+
+    from schemaloom.llm.near_dup import MISS, Tables, bit_sums
+
+    r = np.random.default_rng(8)
+    t = Tables.of_size(5000, 0.8)
+    apart = far = 0
+    for _ in range(400):
+        both = r.integers(0, 1 << 63, 800, dtype=np.uint64)
+        sets = [np.concatenate([both, r.integers(0, 1 << 63, 100, dtype=np.uint64)]) for _ in range(2)]
+        over = [2 * bit_sums(s, t.words) - len(s) for s in sets]
+        differ = (over[0] > 0) != (over[1] > 0)
+        far += differ.sum() > t.most(t.words)
+        free = np.zeros((t.count, t.width), bool)
+        for o in over:
+            weak = np.argsort(np.abs(o[: t.count * t.width]).reshape(t.count, t.width), axis=1, kind="stable")[:, : t.flips]
+            np.put_along_axis(free, weak, True, axis=1)
+        apart += (differ[: t.count * t.width].reshape(t.count, t.width) & ~free).any(axis=1).all()
+    assert apart <= 400 * MISS * 4 and far <= 2
+
+
+def test_large_group_of_near_copies(spark):
+    """Copies of one text that are nearer to it than to each other come to one component, loners stay apart."""
+    r = random.Random(9)
+    base = words(r, 150).split(" ")
+    texts = {0: " ".join(base)}
+    for i in range(1, 120):
+        w = list(base)
+        for _ in range(1 + i % 12):
+            w[r.randrange(len(w))] = words(r, 1)
+        texts[i] = " ".join(w)
+    got = {x.doc_id: x.component_id for x in near_dup_components(docs_frame(spark, list(texts.items()))).collect()}
+    assert got == brute_similar(texts)
