@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import flat_map, map_columns, materialise, release, to_bytes
+from .common import flat_map, map_columns, materialise, release, small, to_bytes
 from .components import components
 from .simhash import SEED
 
@@ -210,28 +210,33 @@ def near_dup_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     met = materialise(kept.join(pivots, "key").where("rep <> p"), "met")
     release(shared, kept, pivots)
     pairs, left = met.select("rep", "p"), met.where("m > 2").select("key", "rep")
-    at_once, done = MORE, []
+    at_once, done, near, of = MORE, [], classes, texts
     while True:
         pairs = pairs.select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b")).distinct()
         for old in done:
             pairs = pairs.join(old, ["a", "b"], "left_anti")
         done.append(materialise(pairs, "pairs"))
-        more = materialise(_links(done[-1], classes, texts, tables, shingle), "links")
+        more = materialise(_links(done[-1], near, of, tables, shingle), "links")
         labels = materialise(components(links.unionByName(more)), "labels")
         release(more)
         links = labels.select(F.col("component").alias("a"), F.col("node").alias("b")).where("a <> b")
-        left = left.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
-        sized = left.join(labels.groupBy("component").agg(F.count("*").alias("size")), "component", "left").fillna(1, ["size"])
-        mixed = sized.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max(F.struct("size", "component")).alias("most")).where("lo < hi")
+        left = left.join(small(labels.withColumnRenamed("node", "rep")), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
+        left = materialise(left, "left")
+        parts = left.groupBy("key", "component").agg(F.count("*").alias("size"))
+        mixed = parts.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max(F.struct("size", "component")).alias("most")).where("lo < hi")
         rows = left.join(mixed.select("key", F.col("most.component").alias("main")), "key").withColumn("other", F.col("component") != F.col("main"))
         rows = materialise(rows, "rows")
         others = rows.where("other").groupBy("key").agg(F.count("*").alias("m"))
         chosen = rows.where("other").join(others, "key").where(F.pmod(F.xxhash64("rep", F.lit(at_once)), F.col("m")) < at_once)
         chosen = materialise(chosen.select("key", F.col("rep").alias("p"), F.col("component").alias("c")), "chosen")
-        release(met)
+        release(met, left)
         if rows.isEmpty():
             break
         met, at_once = rows, MORE * at_once
+        # what is still open is far less than all
+        dense = small(materialise(rows.select("rep").distinct(), "dense"))
+        near = materialise(near.join(dense, "rep", "left_semi"), "near")
+        of = materialise(of.join(dense.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi"), "of")
         pairs = rows.join(chosen, "key").where("component <> c").select("rep", "p")
         left = rows.join(chosen.select("key", F.col("p").alias("rep")), ["key", "rep"], "left_anti").select("key", "rep")
     release(classes, reps, *done)
@@ -261,6 +266,7 @@ def _links(pairs: DataFrame, classes: DataFrame, texts: DataFrame, tables: Table
     close = materialise(close.select("a", "b"), "close")
     release(first)
     ends = close.select(F.col("a").alias("doc_id")).unionByName(close.select(F.col("b").alias("doc_id"))).distinct()
+    ends = small(materialise(ends, "ends"))
     near = materialise(texts.join(ends, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
     sides = close.join(near.toDF("a", "left"), "a").join(near.toDF("b", "right"), "b")
     return map_columns(sides, _alike(shingle, tables.similarity), ["left", "right"], ["a", "b"], [("alike", T.BooleanType())]).where("alike").select("a", "b")
