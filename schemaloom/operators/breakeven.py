@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import prompts
+
 #: Fixed value: the numbers of tools that are simulated.
 SIZES = (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 25, 30, 40, 50)
 
@@ -22,11 +26,22 @@ def trials(spark: SparkSession, n_pool: int, n_trials: int, sizes: tuple[int, ..
     return rows.withColumn("idx", draw(F.lit(n_pool), F.lit(seed), F.col("n"), F.col("trial"), F.col("slot")))
 
 
-def calibrated(drawn: DataFrame, pool: DataFrame, flags: list[str], overhead: Column) -> DataFrame:
-    """Per trial: totals of both forms and the overhead of the features drawn. pool(idx, j, c, flags...) is joined once;
-    overhead is a column over the flags of a trial (any member has it)."""
-    t = drawn.join(pool, "idx").groupBy("n", "trial").agg(F.sum("j").alias("j"), F.sum("c").alias("c"), *[F.bool_or(f).alias(f) for f in flags])
-    return t.withColumn("overhead", overhead).select("n", "trial", "j", "c", "overhead")
+def sampled(drawn: DataFrame, pool: DataFrame) -> DataFrame:
+    """Per trial: totals of both forms and the manifest of the tools drawn.
+
+    pool(idx, j, c, a feature row of the tool) is joined once; features combine, so no tool is read again.
+    """
+    t = drawn.join(pool, "idx").groupBy("n", "trial").agg(F.sum("j").alias("j"), F.sum("c").alias("c"), *prompts.combined())
+    return prompts.with_uniformity(t)
+
+
+def costs(trials_: DataFrame, counter: Callable[[Column], Column], full_grammar: bool = False) -> DataFrame:
+    """Per trial: totals of both forms, and tokens of the text around its tools, counted once per manifest. With
+    full_grammar the text has every clause."""
+    t = trials_.withColumns(prompts.full_manifest()) if full_grammar else trials_
+    kinds = [*prompts.FLAGS, "required_uniformity", "all_fallback"]
+    texts = t.select(kinds).distinct().withColumn("overhead", counter(prompts.overhead(F.col("required_uniformity"))))
+    return t.join(texts, kinds).select("n", "trial", "j", "c", "overhead")
 
 
 def curve(per_trial: DataFrame) -> DataFrame:

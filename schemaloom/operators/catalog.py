@@ -61,6 +61,35 @@ def pending(rows: DataFrame, cache: DataFrame) -> DataFrame:
     return rows.where(F.col("bucket") == "converted").select("tool_hash").join(cache.select("tool_hash"), "tool_hash", "left_anti")
 
 
+def merge_cache(cache: DataFrame, counted: DataFrame) -> DataFrame:
+    """A token cache with new counts put in: both are (tool_hash, json, compact); a new count replaces an old one.
+
+    Of equal hashes among the new, the one with the largest counts stays. Nulls aren't counts and don't enter.
+    """
+    cols = ["tool_hash", "json", "compact"]
+    both = cache.select(cols).withColumn("__new", F.lit(0)).unionByName(counted.select(cols).dropna().withColumn("__new", F.lit(1)))
+    return both.groupBy("tool_hash").agg(F.max(F.struct("__new", "json", "compact")).alias("x")).select("tool_hash", "x.json", "x.compact")
+
+
+def text_cache_key(text: Column) -> Column:
+    """The key under which a text's token count is kept."""
+    return F.sha2(text.cast("binary"), 256)
+
+
+def indexed(rows: DataFrame, hashes: DataFrame) -> DataFrame:
+    """Converted rows of the listed hashes; a hash without one is an error."""
+    have = rows.where("bucket = 'converted'")
+    wanted = hashes.select("tool_hash").distinct()
+    if row := wanted.join(have, "tool_hash", "left_anti").limit(1).collect():
+        raise ValueError(f"no converted tool for {row[0].tool_hash}")
+    return have.join(wanted, "tool_hash", "left_semi")
+
+
+def invalid_counts(rows: DataFrame) -> DataFrame:
+    """Per reason: unique invalid definitions and their occurrences. A definition counts once, with its first reason."""
+    return rows.where("bucket = 'invalid_input'").groupBy(F.col("invalid_reason").alias("reason")).agg(F.count("*").alias("definitions"), F.sum("occurrences").alias("occurrences"))
+
+
 def summary(rows: DataFrame, tokenizers: list[str]) -> DataFrame:
     """One row: counts per bucket, coverage, occurrences, and mean and median change per tokenizer."""
     n = lambda b: F.count_if(F.col("bucket") == b)

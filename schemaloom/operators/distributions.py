@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .plan import places
+
 #: Fixed value: what the offline counter takes for a token: a run of letters, a digit, or another visible character.
 TOKEN_PATTERN = r"[A-Za-z]+|\d|[^\sA-Za-z\d]"
 
@@ -47,11 +48,13 @@ def size_correlation(pairs: DataFrame) -> DataFrame:
 def equal_count_bins(pairs: DataFrame, bins: int = 10) -> DataFrame:
     """Median size and saving in bins of equal count by size: of n rows, row i (from 0) is in bin ceil((i + 1) * bins / n) - 1.
 
-    The row's place is a window over each tokenizer's rows; where those are many, rank them by range partitions first.
+    Rows are numbered over all tokenizers at once by range partitions, and a tokenizer's first number is taken off; so no
+    task sorts all of a tokenizer's rows.
     """
-    w = W.partitionBy("tokenizer").orderBy("j", "key")
-    r = reductions(pairs).withColumn("i", F.row_number().over(w)).withColumn("m", F.count("*").over(W.partitionBy("tokenizer")))
-    return r.withColumn("bin", F.ceil(F.col("i") * bins / F.col("m")) - 1).groupBy("tokenizer", "bin").agg(F.count("*").alias("n"), F.median("j").alias("size"), F.median("saving").alias("saving"))
+    r = places(reductions(pairs).select("tokenizer", "key", "j", "saving"), ["tokenizer", "j", "key"])
+    of = r.groupBy("tokenizer").agg(F.min("place").alias("first"), F.count("*").alias("m"))
+    bin_of = F.ceil((F.col("place") - F.col("first") + 1) * bins / F.col("m")) - 1
+    return r.join(of, "tokenizer").withColumn("bin", bin_of).groupBy("tokenizer", "bin").agg(F.count("*").alias("n"), F.median("j").alias("size"), F.median("saving").alias("saving"))
 
 
 def win_split(pairs: DataFrame) -> DataFrame:

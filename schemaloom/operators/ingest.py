@@ -57,6 +57,11 @@ def raw_store(cells: DataFrame, results: DataFrame, run_id: str, provider: Colum
 
 
 def status_rollup(records: DataFrame) -> DataFrame:
-    """Per provider: counts by status and the ids of errors, in order."""
+    """Per provider: counts by status, and the least id of an error; error_ids has them all."""
     s = F.col("status")
-    return records.groupBy("provider").agg(F.count_if(s == "completed").alias("completed"), F.count_if(s == "skipped").alias("skipped"), F.count_if(s == "api_error").alias("api_error"), F.array_sort(F.collect_list(F.when(s == "api_error", F.col("custom_id")))).alias("error_ids"))
+    return records.groupBy("provider").agg(F.count_if(s == "completed").alias("completed"), F.count_if(s == "skipped").alias("skipped"), F.count_if(s == "api_error").alias("api_error"), F.min(F.when(s == "api_error", F.col("custom_id"))).alias("first_error"))
+
+
+def error_ids(records: DataFrame) -> DataFrame:
+    """A row per failed cell, in order of provider and id: the rollup's list, which isn't gathered in one row."""
+    return records.where("status = 'api_error'").select("provider", "custom_id").orderBy("provider", "custom_id")

@@ -45,15 +45,16 @@ def stable_sample(rows: DataFrame, n: int, seed: int, key: str = "id") -> DataFr
     return rows.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")).cast("binary")), key).limit(n)
 
 
-def places(rows: DataFrame, order: str, name: str = "place") -> DataFrame:
-    """Number rows from 0 in the order of a column, without bringing them to one task.
+def places(rows: DataFrame, order: str | list[str], name: str = "place") -> DataFrame:
+    """Number rows from 0 in the order of a column or several, without bringing them to one task.
 
     Rows are sorted by range partitions and written once (numbering reads them twice, and ranges are sampled); a row's
     place is the count of rows in the partitions before, of which there are few, and its place in its own.
     """
     spark = rows.sparkSession
     mid = F.monotonically_increasing_id()
-    ranged = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), order).sortWithinPartitions(order).withColumns({"__p": F.shiftright(mid, 33), "__i": mid.bitwiseAND(F.lit((1 << 33) - 1))})
+    by = [order] if isinstance(order, str) else order
+    ranged = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *by).sortWithinPartitions(*by).withColumns({"__p": F.shiftright(mid, 33), "__i": mid.bitwiseAND(F.lit((1 << 33) - 1))})
     ranged = cut(ranged)
     sizes = sorted((r["__p"], r["count"]) for r in ranged.groupBy("__p").count().collect())
     before, total = [], 0
@@ -85,6 +86,6 @@ def provider_slice(cells: DataFrame, model: str) -> DataFrame:
 
 
 def sidecar(cells: DataFrame) -> DataFrame:
-    """One row per model: map from custom_id to what it stands for."""
-    what = F.struct("entry_id", "category", "condition", "model", "skipped", "skip_reason")
-    return cells.groupBy("model").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("custom_id").alias("key"), what.alias("value"))))).alias("cells"))
+    """A row per cell: model, custom_id as key, and what it stands for as value. Written by model it is a file of entries
+    for each; no model's cells are gathered in one row."""
+    return cells.select("model", F.col("custom_id").alias("key"), F.struct("entry_id", "category", "condition", "model", "skipped", "skip_reason").alias("value"))

@@ -59,8 +59,13 @@ FLAGS = (
 )
 
 
-def manifest(nodes: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per prompt (keys): a boolean per flag, required_uniformity, all_fallback. One aggregation, map-side combined.
+#: What a feature row holds beside the flags: whether all or any parameters are required (null without parameters), how many
+#: tools there are, and how many of them are raw.
+_STATE = ("all_required", "any_required", "n_tools", "n_raw")
+
+
+def features(nodes: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per keys: a boolean per flag and what the rest of a manifest needs. One aggregation, map-side combined.
 
     Uniformity looks at tools' own fields and those of nested objects, but not at those of an array's items.
     """
@@ -89,12 +94,29 @@ def manifest(nodes: DataFrame, keys: list[str]) -> DataFrame:
     counted = nodes.withColumn("__counted", ~c("node_path").rlike("/"))  # a slash marks the items of an array or a branch
     g = counted.groupBy(*keys).agg(
         *[F.bool_or(F.coalesce(t, F.lit(False))).alias(n) for n, t in tests.items()],
-        F.bool_and(F.when(param, c("required"))).alias("__all"), F.bool_or(F.when(param, c("required"))).alias("__any"),
-        F.count_if(c("kind").isin("tool", "raw")).alias("__tools"), F.count_if(c("kind") == "raw").alias("__raw"),
+        F.bool_and(F.when(param, c("required"))).alias("all_required"), F.bool_or(F.when(param, c("required"))).alias("any_required"),
+        F.count_if(c("kind").isin("tool", "raw")).alias("n_tools"), F.count_if(c("kind") == "raw").alias("n_raw"),
         F.count_distinct(F.when((c("kind") == "tool"), F.struct("doc_id", "tool_ord"))).alias("__named"), F.count_distinct(F.when((c("kind") == "field") & (c("parent_kind") == "tool"), F.struct("doc_id", "tool_ord"))).alias("__filled"),
     )
-    uniformity = F.when(c("__all"), "all_required").when(c("__any"), "mixed").otherwise("all_optional")
-    return g.withColumns({"has_parameterless_tool": c("__named") > c("__filled"), "required_uniformity": uniformity, "all_fallback": (c("__tools") > 0) & (c("__tools") == c("__raw"))}).select(*keys, *FLAGS, "required_uniformity", "all_fallback")
+    return g.withColumn("has_parameterless_tool", c("__named") > c("__filled")).select(*keys, *FLAGS, *_STATE)
+
+
+def combined() -> list[Column]:
+    """Aggregates that make one feature row of many, so that tools are read once, however many prompts they are in."""
+    flags = [F.bool_or(f).alias(f) for f in FLAGS]
+    return [*flags, F.bool_and("all_required").alias("all_required"), F.bool_or("any_required").alias("any_required"), F.sum("n_tools").alias("n_tools"), F.sum("n_raw").alias("n_raw")]
+
+
+def with_uniformity(rows: DataFrame) -> DataFrame:
+    """Feature rows as manifests: required_uniformity and all_fallback in place of what they are made of."""
+    uniformity = F.when(F.col("all_required"), "all_required").when(F.col("any_required"), "mixed").otherwise("all_optional")
+    raw = (F.col("n_tools") > 0) & (F.col("n_tools") == F.col("n_raw"))
+    return rows.withColumns({"required_uniformity": uniformity, "all_fallback": raw}).drop(*_STATE)
+
+
+def manifest(nodes: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per prompt (keys): a boolean per flag, required_uniformity, all_fallback."""
+    return with_uniformity(features(nodes, keys))
 
 
 def full_manifest() -> dict[str, Column]:
@@ -134,7 +156,7 @@ def sections(intro: Column, tools: Column, uniformity: Column) -> Column:
 
 def system_prompt(text: Column) -> Column:
     """Primer, fenced notation and contract of a manifest row; null where all tools are raw."""
-    return F.when(~F.col("all_fallback"), sections(primer(), F.concat(F.lit(f"```{NOTATION.lower()}\n"), text, F.lit("\n```")), F.col("required_uniformity")))
+    return F.when(~F.col("all_fallback"), sections(primer(), F.concat(F.lit("```\n"), text, F.lit("\n```")), F.col("required_uniformity")))
 
 
 def json_prompt(canonical_tools: Column, uniformity: Column, intro: str = JSON_INTRO) -> Column:
@@ -161,12 +183,44 @@ def overhead(uniformity: Column) -> Column:
     return sections(primer(), F.lit("```\n\n```"), uniformity)
 
 
+def prompt_rows(texts: DataFrame, nodes: DataFrame, key: str, full_grammar: bool = False) -> DataFrame:
+    """texts(key, text) of documents and their nodes (doc_id = key) -> key, the manifest, primer and prompt.
+
+    Of a document with raw tools only, primer is empty and prompt null: it goes by the native channel. With full_grammar
+    other documents have every clause.
+    """
+    m = manifest(nodes.withColumn(key, F.col("doc_id")), [key])
+    if full_grammar:
+        m = m.withColumns({k: F.when(F.col("all_fallback"), F.col(k)).otherwise(v) for k, v in full_manifest().items()})
+    return texts.select(key, "text").join(m, key).withColumns({"primer": primer(), "prompt": system_prompt(F.col("text"))}).drop("text")
+
+
 def question_parts(messages: DataFrame, key: str = "conv_id", turn: str = "turn") -> DataFrame:
     """messages(key, turn, role, text) -> per key: the first system text, the last user text, whether there is a system."""
     role = F.col("role")
     return messages.groupBy(key).agg(F.min_by("text", F.when(role == "system", F.col(turn))).alias("system_text"), F.max_by("text", F.when(role == "user", F.col(turn))).alias("user_text"), F.count_if(role == "system").alias("n_system")).withColumn("has_system", F.col("n_system") > 0)
 
 
+def question_problems(messages: DataFrame, key: str = "conv_id", turn: str = "turn") -> DataFrame:
+    """Per key with a problem, which: a message without role or content before a question without a user message."""
+    role, bad = F.col("role"), F.col("role").isNull() | F.col("text").isNull()
+    g = messages.groupBy(key).agg(F.min(F.when(bad, F.col(turn))).alias("at"), F.count_if(role == "user").alias("__users"))
+    what = F.when(F.col("at").isNotNull(), "missing role or content").when(F.col("__users") == 0, "no user message")
+    return g.select(key, what.alias("problem"), "at").where("problem is not null")
+
+
+def checked_questions(messages: DataFrame, key: str = "conv_id", turn: str = "turn") -> DataFrame:
+    """question_parts of messages without a problem; one is an error that names the least key."""
+    if row := question_problems(messages, key, turn).orderBy(key).limit(1).collect():
+        raise ValueError(f"{row[0].problem}: {key} {row[0][key]}")
+    return question_parts(messages, key, turn)
+
+
+def with_system_ids(messages: DataFrame, key: str = "conv_id") -> DataFrame:
+    """The keys whose question has a system message."""
+    return messages.where("role = 'system'").select(key).distinct()
+
+
 def with_embedded_system(prompt: Column, system: Column) -> Column:
     return F.coalesce(F.concat(system, F.lit("\n\n"), prompt), prompt)
 

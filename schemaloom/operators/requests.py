@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import kernels as K
 from .prompts import native_name
 
 #: Sampling settings of all requests.
@@ -46,6 +47,12 @@ def native_tools(provider: str, tools: Column, renames: Column | None = None) ->
     return F.transform(tools, lambda t: F.struct(F.lit("function").alias("type"), F.struct(name(t), text(t), t["parameters"].alias("parameters")).alias("function")))
 
 
+def entry_tools(entries: DataFrame, schema: str = "schema") -> DataFrame:
+    """Entries' tools as they are sent: Python's type names mapped, as for the catalog. Each distinct text is read once."""
+    seen = entries.select(schema).distinct().withColumn("__mapped", K.map_aliases(F.col(schema)))
+    return entries.join(seen, F.equal_null(entries[schema], seen[schema]), "left").drop(seen[schema]).withColumn(schema, F.col("__mapped")).drop("__mapped")
+
+
 BODIES = {"openai": openai_body, "anthropic": anthropic_body, "qwen": chat_body}
 
 

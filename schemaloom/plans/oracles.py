@@ -23,16 +23,20 @@ def _with(body: str) -> str:
 
 
 #: Per class of tool: required and optional fields that count for uniformity, other fields, nodes.
-_BRAND = _with(f"""
-, b AS (SELECT p_brand AS brand, list(DISTINCT k) AS ks FROM occ WHERE bucket <> 'invalid_input' GROUP BY p_brand),
-f AS (SELECT brand, ks,
+def _flags(source: str, key: str) -> str:
+    """Manifests f of a source(key, ks), ks being the classes of its tools."""
+    return f"""f AS (SELECT {key}, ks,
   list_contains(ks, 0) AS bounds_inclusive, false AS bounds_exclusive, false AS bounds_open, false AS has_multiple_of,
   list_contains(ks, 11) AS has_string_length, list_contains(ks, 11) AS string_length_open, false AS has_regex, false AS has_encoding_media,
   list_contains(ks, 8) AS has_typed_array, list_contains(ks, 8) AS has_array_bounds, list_contains(ks, 8) AS has_unique, list_contains(ks, 5) AS has_type_union,
   list_contains(ks, 9) AS enum_multi, list_contains(ks, 9) AS enum_single, false AS has_defs_reference, list_contains(ks, 7) AS has_parameterless_tool,
   list_contains(ks, 8) AS has_default_value, list_has_any(ks, [2, 3, 4]) AS has_fallback,
   CASE WHEN NOT list_has_any(ks, [0, 5, 9, 11]) THEN 'all_optional' ELSE 'mixed' END AS required_uniformity,
-  len(list_filter(ks, lambda x: x NOT IN (2, 3, 4))) = 0 AS all_fallback FROM b)
+  len(list_filter(ks, lambda x: x NOT IN (2, 3, 4))) = 0 AS all_fallback FROM {source})"""
+
+
+_BRAND = _with(f""", b AS (SELECT p_brand AS brand, list(DISTINCT k) AS ks FROM occ WHERE bucket <> 'invalid_input' GROUP BY p_brand),
+{_flags('b', 'brand')}
 """)
 
 
@@ -96,11 +100,19 @@ r AS (SELECT *, c - j AS delta, (j - c) * 100.0::DOUBLE / j AS saving FROM p WHE
 _STATS = "count(*) AS n, round(avg(saving), 6) AS mean, round(min(saving), 6) AS least, round(max(saving), 6) AS most, " + ", ".join(f"round(quantile_cont(saving, {q}), 6) AS {n}" for q, n in ((0.05, "p5"), (0.25, "p25"), (0.5, "median"), (0.75, "p75"), (0.95, "p95"))) + ", count(*) FILTER (WHERE c > j) AS worse, round((sum(j) - sum(c)) * 100.0::DOUBLE / sum(j), 6) AS ratio_of_sums"
 
 _SIZES = ", ".join(f"({n})" for n in SIZES)
-_CURVE = f"""pool AS (SELECT p_partkey - (SELECT min(p_partkey) FROM part) AS idx, p_size * 7 + 40 AS j, p_size * 4 + 30 AS c, p_size % 3 = 0 AS f1, p_size % 5 = 0 AS f2 FROM part),
-drawn AS (SELECT n, trial, ('0x' || substr(md5('42|' || n || '|' || trial || '|' || slot), 1, 8))::BIGINT % (SELECT count(*) FROM part) AS idx
+#: The text of the whole grammar: every clause, in order.
+_FULL = "\n\n".join((
+    P.INTRO + "\n- " + P.RULES["mixed"], P.DEFAULT_VALUE, f"{P.BOUNDS} {P.BOUNDS_BOTH} {P.OPEN_BOUND}", P.MULTIPLE_OF, f"{P.LENGTH} {P.OPEN_BOUND}", P.REGEX, P.ENCODING, P.TYPED_ARRAY, P.ARRAY_BOUNDS,
+    P.UNIQUE, P.TYPE_UNION, P.ENUM_MULTI, P.ENUM_SINGLE, P.REFERENCE, P.PARAMETERLESS, P.FALLBACK,
+))
+_FULL_END = P.CONTRACT + P.CONTRACT_BY["mixed"] + P.CONTRACT_END
+_CURVE = f"""{_TOOLS}, pool AS (SELECT row_number() OVER (ORDER BY tool_hash) - 1 AS idx, tj AS j, tc AS c, k FROM counted WHERE bucket = 'converted'),
+drawn AS (SELECT n, trial, ('0x' || substr(md5('42|' || n || '|' || trial || '|' || slot), 1, 8))::BIGINT % (SELECT count(*) FROM pool) AS idx
   FROM (VALUES {_SIZES}) s(n), range(1000) t(trial), LATERAL (SELECT unnest(range(1, n + 1)) AS slot)),
-per AS (SELECT n, trial, sum(j) AS j, sum(c) AS c, bool_or(f1) AS f1, bool_or(f2) AS f2 FROM drawn JOIN pool USING (idx) GROUP BY n, trial),
-cost AS (SELECT n, trial, j, c, 300 + CASE WHEN f1 THEN 220 ELSE 0 END + CASE WHEN f2 THEN 115 ELSE 0 END AS o, 'calibrated' AS arm FROM per UNION ALL SELECT n, trial, j, c, 635, 'full' FROM per),
+per AS (SELECT n, trial, sum(j) AS j, sum(pool.c) AS c, list(DISTINCT k) AS ks FROM drawn JOIN pool USING (idx) GROUP BY n, trial),
+{_flags('per', 'n, trial, j, c')},
+o AS (SELECT n, trial, j, c, len(regexp_extract_all(concat_ws(chr(10) || chr(10), {_PRIMER}, '---', '```' || chr(10) || chr(10) || '```', '---', {_CONTRACT}), '{TOKEN_PATTERN}')) AS o FROM f),
+cost AS (SELECT *, 'calibrated' AS arm FROM o UNION ALL SELECT n, trial, j, c, len(regexp_extract_all({_q(_FULL + chr(10) * 2 + '---' + chr(10) * 2 + '```' + chr(10) * 2 + '```' + chr(10) * 2 + '---' + chr(10) * 2 + _FULL_END)}, '{TOKEN_PATTERN}')), 'full' FROM o),
 curve AS (SELECT arm, n, avg(j) AS mean_json, avg(c + o) AS mean_compact, avg(CASE WHEN c + o < j THEN 1.0 ELSE 0.0 END) AS win_rate, avg(o) AS mean_overhead FROM cost GROUP BY arm, n),
 saved AS (SELECT *, (mean_json - mean_compact) / mean_json * 100 AS saving FROM curve)"""
 
@@ -120,6 +132,9 @@ def oracles() -> dict[str, str]:
       round(count(*) FILTER (WHERE bucket = 'converted')::DOUBLE / count(*) FILTER (WHERE bucket <> 'invalid_input'), 9) AS coverage FROM counted""")
     out["a_fallback_causes"] = _with("""SELECT CASE k WHEN 2 THEN 'unencodable keyword(s) [''oneOf'']' WHEN 3 THEN 'semantic validation failed: numeric bound lower bound N exceeds upper bound N [§N.N]' ELSE 'mixed-type enum: members span more than one JSON type' END AS reason, count(*) AS n FROM tools WHERE bucket = 'fell_back' GROUP BY 1""")
     out["t_pending_tokens"] = _with("SELECT tool_hash, true AS missing FROM counted WHERE bucket = 'converted' AND tj % 2 = 1")
+    out["a_invalid"] = _with("SELECT 1::BIGINT AS reasons, count(*) AS definitions, sum(occurrences)::BIGINT AS occurrences FROM tools WHERE bucket = 'invalid_input'")
+    out["t_merged_cache"] = _with("SELECT tool_hash, CASE WHEN tj % 2 = 0 THEN tj ELSE tj + 1000 END AS json, tc AS compact FROM counted WHERE bucket = 'converted' AND (tj % 2 = 0 OR tj % 3 = 0)")
+    out["t_index"] = _with("SELECT tool_hash, text FROM counted WHERE bucket = 'converted' AND tj > tc")
     out["n_options"] = f"SELECT count(*) FILTER (WHERE {D.K} = 6) AS floats, 0::BIGINT AS dicts, 0::BIGINT AS tuples, 0::BIGINT AS anys, count(*) FILTER (WHERE {D.K} = 1) AS closed, count(*) FILTER (WHERE {D.K} = 6) AS touched FROM part"
     out["w_text"] = _with("SELECT tool_hash, text FROM tools WHERE bucket = 'converted'")
     out["p_nodes"] = _with(""", v(k, kind, n, req, depth) AS (VALUES (0,'tool',1,0,0),(0,'field',2,1,1),(0,'integer',1,0,2),(0,'string',1,0,2),(1,'tool',1,0,0),(1,'field',1,0,1),(1,'string',1,0,2),
@@ -144,6 +159,12 @@ def oracles() -> dict[str, str]:
     flags = ", ".join((*P.FLAGS, "required_uniformity", "all_fallback"))
     out["m_manifest"] = _BRAND + f"SELECT brand, {flags} FROM f"
     out["m_overhead"] = _BRAND + f", t AS (SELECT brand, concat_ws(chr(10) || chr(10), {_PRIMER}, '---', '```' || chr(10) || chr(10) || '```', '---', {_CONTRACT}) AS text FROM f) SELECT brand, length(text) AS chars, sha256(text) AS sha FROM t"
+    out["m_prompts"] = _with(f""", b AS (SELECT tool_hash, text, [k] AS ks FROM tools WHERE bucket <> 'invalid_input'), {_flags('b', 'tool_hash, text')},
+      p AS (SELECT tool_hash, {_PRIMER} AS primer, CASE WHEN NOT all_fallback THEN concat_ws(chr(10) || chr(10), {_PRIMER}, '---', '```' || chr(10) || text || chr(10) || '```', '---', {_CONTRACT}) END AS prompt, false AS full_grammar FROM f
+        UNION ALL SELECT tool_hash, CASE WHEN all_fallback THEN '' ELSE {_q(_FULL)} END, CASE WHEN NOT all_fallback THEN concat_ws(chr(10) || chr(10), {_q(_FULL)}, '---', '```' || chr(10) || text || chr(10) || '```', '---', {_q(_FULL_END)}) END, true FROM f)
+      SELECT tool_hash, full_grammar, length(primer)::INT AS primer_chars, sha256(prompt) AS prompt_sha FROM p""")
+    out["q_problems"] = """SELECT conv_id, CASE WHEN bool_or(role IS NULL OR text IS NULL) THEN 'missing role or content' WHEN count(*) FILTER (WHERE role = 'user') = 0 THEN 'no user message' END AS problem,
+      min(turn) FILTER (WHERE role IS NULL OR text IS NULL) AS "at", coalesce(bool_or(role = 'system'), false) AS has_system FROM conversations GROUP BY conv_id"""
     out["q_json_prompts"] = f"""WITH {_TOOLS}, b AS (SELECT p_brand AS brand, string_agg(DISTINCT schema, ',' ORDER BY schema) AS tools, CASE WHEN bool_or(k IN (0, 5, 9, 11)) THEN 'mixed' ELSE 'all_optional' END AS required_uniformity FROM occ GROUP BY 1),
       t AS (SELECT brand, concat_ws(chr(10) || chr(10), {_q(P.JSON_INTRO)}, '---', '```json' || chr(10) || '[' || tools || ']' || chr(10) || '```', '---', {_CONTRACT}) AS text FROM b) SELECT brand, length(text) AS chars, sha256(text) AS sha FROM t"""
     out["q_questions"] = "SELECT conv_id, arg_min(text, turn) FILTER (WHERE role = 'system') AS system_text, arg_max(text, turn) FILTER (WHERE role = 'user') AS user_text, count(*) FILTER (WHERE role = 'system') > 0 AS has_system FROM conversations GROUP BY conv_id"
@@ -161,6 +182,7 @@ def oracles() -> dict[str, str]:
         || CASE WHEN condition = 'c' THEN ',"tools":[{{"name":"do_it","description":"","input_schema":{{"type":"object"}}}}],"tool_choice":{{"type":"auto"}}}}' ELSE '}}' END
       ELSE '{{"model":"m","messages":[' || {sys_of("'system'", 's')} || {user} || '],"temperature":0.0,"top_p":1.0,"max_tokens":512,"reasoning":{{"effort":"none"}}'
         || CASE WHEN condition = 'c' THEN ',"tools":[{{"type":"function","function":{{"name":"do_it","description":"","parameters":{{"type":"object"}}}}}}],"tool_choice":"auto"}}' ELSE '}}' END END AS body FROM b"""
+    out["q_entry_tools"] = f"SELECT p_partkey AS entry_id, {D.MAPPED} AS schema FROM part"
     out["s_batches"] = "SELECT count(DISTINCT conv_id) * 9 AS n, 0::BIGINT AS not_json, 0::BIGINT AS repeated_ids, 0::BIGINT AS bad_ids, true AS ok FROM conversations"
     out["s_catalog_files"] = "SELECT 'e' || (p_partkey % 100) AS entry, count(*) AS n, (count(*) - 1)::INT AS last FROM part GROUP BY 1"
     out["s_csv"] = "SELECT n_nationkey, n_name, n_regionkey FROM nation"

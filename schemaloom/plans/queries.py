@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import kernels as K
 from ..functions.tokens import bpe_counter
 from ..operators import breakeven, catalog, closure, distributions, equivalence, extract, inference, ingest, plan, prompts, requests, scoring, validate
-from ..operators.storage import shared_folder
+from ..operators.storage import cut, shared_folder
 from ..sources import files
 from ..streaming import resume
 from . import derived as D
@@ -57,6 +57,25 @@ def a_fallback_causes(spark, sf_dir):
     return distributions.cause_histogram(got)
 
 
+def a_invalid(spark, sf_dir):
+    got = catalog.invalid_counts(catalog.bucketed(tools(spark, sf_dir)))
+    return got.agg(F.count("reason").alias("reasons"), F.sum("definitions").alias("definitions"), F.sum("occurrences").alias("occurrences"))
+
+
+def t_merged_cache(spark, sf_dir):
+    """A cache that knows some tools, partly with stale counts, brought up to date from what is pending."""
+    got = rows(spark, sf_dir).where("bucket = 'converted'").select("tool_hash", F.col("tokens_json_offline").alias("json"), F.col("tokens_compact_offline").alias("compact"))
+    old = got.where("json % 3 = 0").select("tool_hash", (F.col("json") + 1000).alias("json"), "compact")
+    return catalog.merge_cache(old, got.where("json % 2 = 0"))
+
+
+def t_index(spark, sf_dir):
+    """The tools that a pool of hashes names, with their text."""
+    got = rows(spark, sf_dir)
+    pool = got.where("bucket = 'converted' and tokens_json_offline > tokens_compact_offline").select("tool_hash")
+    return catalog.indexed(got, pool.union(pool)).select("tool_hash", "text")
+
+
 def t_pending_tokens(spark, sf_dir):
     got = rows(spark, sf_dir)
     cache = got.where("bucket = 'converted' and tokens_json_offline % 2 = 0").select("tool_hash", F.col("tokens_json_offline").alias("json"), F.col("tokens_compact_offline").alias("compact"))
@@ -155,6 +174,22 @@ def m_overhead(spark, sf_dir):
     return brand_manifest(spark, sf_dir).select("brand", F.length(text).alias("chars"), F.sha2(text.cast("binary"), 256).alias("sha"))
 
 
+def m_prompts(spark, sf_dir):
+    """The whole prompt of each tool by itself: calibrated, and of the whole grammar."""
+    good = catalog.bucketed(tools(spark, sf_dir)).where("bucket <> 'invalid_input'").select("tool_hash", F.col("conversion.text").alias("text"))
+    nodes = catalog.text_table(good, "tool_hash", "text")
+    one = lambda full: prompts.prompt_rows(good, nodes, "tool_hash", full).select("tool_hash", F.lit(full).alias("full_grammar"), F.length("primer").alias("primer_chars"), F.sha2(F.col("prompt").cast("binary"), 256).alias("prompt_sha"))
+    return one(False).unionByName(one(True))
+
+
+def q_problems(spark, sf_dir):
+    """Questions that can't be asked, and whether a question has a system message."""
+    m = table(spark, sf_dir, "conversations")
+    ids = m.select("conv_id").distinct()
+    has = prompts.with_system_ids(m).withColumn("has_system", F.lit(True))
+    return ids.join(prompts.question_problems(m), "conv_id", "left").join(has, "conv_id", "left").select("conv_id", "problem", "at", F.coalesce("has_system", F.lit(False)).alias("has_system"))
+
+
 def q_json_prompts(spark, sf_dir):
     occ = D.occurrences(spark, sf_dir).select(F.col("category").alias("brand"), K.map_aliases(F.col("schema")).alias("schema"))
     text = prompts.json_prompt(F.col("tools"), F.col("required_uniformity"))
@@ -177,6 +212,12 @@ def q_requests(spark, sf_dir):
     return _requests(spark, sf_dir).select("custom_id", "body")
 
 
+def q_entry_tools(spark, sf_dir):
+    """Tools as requests carry them, all occurrences."""
+    occ = D.occurrences(spark, sf_dir).withColumnRenamed("ord", "entry_id")
+    return requests.entry_tools(occ).select("entry_id", "schema")
+
+
 def s_batches(spark, sf_dir):
     """Batch files written, read again and checked."""
     path = files.write_batches(requests.batch_lines(_requests(spark, sf_dir)), scratch(spark, "batches"))
@@ -211,7 +252,8 @@ def c_join_answers(spark, sf_dir):
 
 
 def c_categories(spark, sf_dir):
-    ev = table(spark, sf_dir, "events")
+    """Events by type, a part per type: the types are few, and each part is a filter that reaches the scan."""
+    ev = table(spark, sf_dir, "events").select("event_id", "event_type")
     kinds = [r[0] for r in ev.select("event_type").distinct().orderBy("event_type").collect()]
     return plan.union_categories({k: ev.where(F.col("event_type") == k).select("event_id") for k in kinds}).groupBy("category").agg(F.count("*").alias("n"))
 
@@ -232,7 +274,7 @@ def c_cells(spark, sf_dir):
 
 def c_slices(spark, sf_dir):
     cells = _cells(spark, sf_dir)
-    side = plan.sidecar(cells).select("model", F.size("cells").alias("cells"))
+    side = plan.sidecar(cells).groupBy("model").agg(F.count_distinct("key").cast("int").alias("cells"))
     return side.join(plan.provider_slice(cells, "m1").groupBy("model").agg(F.count("*").alias("sent")), "model", "left")
 
 
@@ -256,7 +298,9 @@ def c_raw_store(spark, sf_dir):
 
 
 def c_status_rollup(spark, sf_dir):
-    return ingest.status_rollup(_store(spark, sf_dir)).select("provider", "completed", "skipped", "api_error", F.size("error_ids").alias("n_error_ids"), F.array_min("error_ids").alias("first_error"))
+    store = _store(spark, sf_dir)
+    ids = ingest.error_ids(store).groupBy("provider").agg(F.count("custom_id").cast("int").alias("n_error_ids"))
+    return ingest.status_rollup(store).join(ids, "provider", "left").select("provider", "completed", "skipped", "api_error", F.coalesce("n_error_ids", F.lit(0)).alias("n_error_ids"), "first_error")
 
 
 def i_resume(spark, sf_dir):
@@ -361,31 +405,40 @@ def d_categories(spark, sf_dir):
 TRIALS = 1000
 
 
-def _curve(spark, sf_dir, full: bool) -> DataFrame:
-    p = table(spark, sf_dir, "part")
-    n, least = p.agg(F.count("*"), F.min("p_partkey")).first()
-    pool = p.select((F.col("p_partkey") - least).alias("idx"), (F.col("p_size") * 7 + 40).cast("long").alias("j"), (F.col("p_size") * 4 + 30).cast("long").alias("c"), (F.col("p_size") % 3 == 0).alias("f1"), (F.col("p_size") % 5 == 0).alias("f2"))
-    cost = F.lit(635) if full else F.lit(300) + F.when(F.col("f1"), 220).otherwise(0) + F.when(F.col("f2"), 115).otherwise(0)
-    return breakeven.curve(breakeven.calibrated(breakeven.trials(spark, n, TRIALS), pool, ["f1", "f2"], cost.cast("long")))
+def _pool(spark, sf_dir) -> DataFrame:
+    """Converted tools, numbered in order of their hashes, with both token counts and their features."""
+    got = rows(spark, sf_dir).where("bucket = 'converted'").select("tool_hash", F.col("tokens_json_offline").alias("j"), F.col("tokens_compact_offline").alias("c"), "text")
+    placed = plan.places(got, "tool_hash", "idx")
+    return placed.drop("text").join(prompts.features(catalog.text_table(placed, "tool_hash", "text"), ["doc_id"]).withColumnRenamed("doc_id", "tool_hash"), "tool_hash")
+
+
+def _curves(spark, sf_dir, *full: bool) -> DataFrame:
+    """Curves of the arms calibrated and, where full is true, full, over one pool."""
+    pool = cut(_pool(spark, sf_dir))
+    made = cut(breakeven.sampled(breakeven.trials(spark, pool.count(), TRIALS), pool))
+    out = None
+    for f in full:
+        one = breakeven.curve(breakeven.costs(made, distributions.offline_tokens, f)).withColumn("arm", F.lit("full" if f else "calibrated"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def b_curve(spark, sf_dir):
-    return rounded(_curve(spark, sf_dir, False))
+    return rounded(_curves(spark, sf_dir, False).drop("arm"))
 
 
 def b_break_even(spark, sf_dir):
-    both = _curve(spark, sf_dir, False).withColumn("arm", F.lit("calibrated")).unionByName(_curve(spark, sf_dir, True).withColumn("arm", F.lit("full")))
-    return rounded(breakeven.break_even(both, ["arm"]))
+    return rounded(breakeven.break_even(_curves(spark, sf_dir, False, True), ["arm"]))
 
 
 def b_thresholds(spark, sf_dir):
-    c = _curve(spark, sf_dir, False).withColumn("arm", F.lit("calibrated"))
-    return rounded(breakeven.threshold_crossing(c, ["arm"], [10.0, 20.0, 25.0, 99.0]))
+    return rounded(breakeven.threshold_crossing(_curves(spark, sf_dir, False), ["arm"], [10.0, 20.0, 25.0, 99.0]))
 
 
 def b_ratio(spark, sf_dir):
-    arm = lambda full: _curve(spark, sf_dir, full).withColumn("arm", F.lit("x"))
-    return rounded(breakeven.overhead_ratio(arm(False), arm(True), ["arm"]).select("n", "ratio"))
+    both = cut(_curves(spark, sf_dir, False, True))
+    arm = lambda name: both.where(F.col("arm") == name).withColumn("arm", F.lit("x"))
+    return rounded(breakeven.overhead_ratio(arm("calibrated"), arm("full"), ["arm"]).select("n", "ratio"))
 
 
 def o_round_trips(spark, sf_dir):
@@ -400,8 +453,8 @@ def o_votes(spark, sf_dir):
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     made = (
-        a_summary, a_dedupe, a_records, a_fallback_causes, t_pending_tokens, t_bpe_savings, n_options, w_text, p_nodes, l_tokens, j_schema, v_findings, v_kernel_findings, f_finalised,
-        j_closure, j_inlinings, r_definitions, m_manifest, m_overhead, q_json_prompts, q_questions, q_requests, s_batches, s_catalog_files, s_csv, s_summary_json,
+        a_summary, a_dedupe, a_records, a_fallback_causes, a_invalid, t_merged_cache, t_index, t_pending_tokens, t_bpe_savings, n_options, w_text, p_nodes, l_tokens, j_schema, v_findings, v_kernel_findings, f_finalised,
+        j_closure, j_inlinings, r_definitions, m_manifest, m_overhead, m_prompts, q_json_prompts, q_questions, q_problems, q_requests, q_entry_tools, s_batches, s_catalog_files, s_csv, s_summary_json,
         c_join_answers, c_categories, c_sample, c_cells, c_slices, c_latest, c_raw_store, c_status_rollup, i_resume, x_extract, x_expected, g_scored, g_summary,
         h_paired, h_descriptive, h_reconcile, d_savings, d_correlation, d_bins, d_wins, d_regressions, d_gap, d_categories, b_curve, b_break_even, b_thresholds, b_ratio,
         o_round_trips, o_votes,

@@ -211,6 +211,71 @@ def test_dedupe_counts_texts_before_reading_them(spark):
     assert [(x.occurrences, x.categories, x.renamed) for x in got] == [(4, ["x", "y", "z"], 3)]
 
 
+def test_prompts_have_plain_fences_and_raw_documents_none(spark):
+    texts = spark.createDataFrame([(1, "t\n  a* string"), (2, '{"name":"r"}')], "doc int, text string")
+    nodes = catalog.text_table(texts, "doc", "text")
+    got = {x.doc: x for x in prompts.prompt_rows(texts, nodes, "doc").collect()}
+    assert "\n---\n\n```\nt\n  a* string\n```\n\n---\n" in got[1].prompt and got[1].prompt.startswith(got[1].primer)
+    assert got[2].primer == "" and got[2].prompt is None and got[2].all_fallback
+    full = {x.doc: x for x in prompts.prompt_rows(texts, nodes, "doc", full_grammar=True).collect()}
+    assert prompts.REFERENCE in full[1].primer and prompts.FALLBACK in full[1].primer and full[2].prompt is None
+    assert prompts.prompt_rows(texts.limit(0), nodes.limit(0), "doc").count() == 0
+
+
+def test_combined_features_are_those_of_all_tools(spark):
+    texts = spark.createDataFrame([(1, "t\n  a* string"), (2, "ping"), (3, "u\n  n integer[1,]"), (4, "t\n  b* string\n\nv\n  c* any")], "doc int, text string")
+    nodes = catalog.text_table(texts, "doc", "text").withColumn("g", F.when(F.col("doc_id") == 3, "y").otherwise("x"))
+    one = prompts.features(nodes, ["g", "doc_id"]).groupBy("g").agg(*prompts.combined())
+    key = lambda df: sorted(map(str, df.collect()))
+    assert key(prompts.with_uniformity(one)) == key(prompts.manifest(nodes, ["g"]))
+
+
+def test_questions_that_cannot_be_asked(spark):
+    m = spark.createDataFrame([(1, 0, "system", "s"), (1, 1, "user", "u"), (2, 0, "system", "s"), (3, 0, "user", None), (3, 1, "user", "x"), (4, 0, None, "x"), (5, 0, "user", "")], "conv_id int, turn int, role string, text string")
+    got = {x.conv_id: (x.problem, x["at"]) for x in prompts.question_problems(m).collect()}
+    assert got == {2: ("no user message", None), 3: ("missing role or content", 0), 4: ("missing role or content", 0)}
+    with pytest.raises(ValueError, match="no user message: conv_id 2"):
+        prompts.checked_questions(m)
+    assert prompts.checked_questions(m.where("conv_id in (1, 5)")).count() == 2 and prompts.checked_questions(m.limit(0)).count() == 0
+    assert sorted(x.conv_id for x in prompts.with_system_ids(m).collect()) == [1, 2]
+
+
+def test_caches_take_new_counts(spark):
+    old = spark.createDataFrame([("a", 9, 9), ("b", 2, 1)], "tool_hash string, json long, compact long")
+    new = spark.createDataFrame([("a", 5, 4), ("a", 5, 3), ("c", 7, 6), ("d", None, 1)], "tool_hash string, json long, compact long")
+    got = sorted(tuple(x) for x in catalog.merge_cache(old, new).collect())
+    assert got == [("a", 5, 4), ("b", 2, 1), ("c", 7, 6)]
+    assert sorted(tuple(x) for x in catalog.merge_cache(old, new.limit(0)).collect()) == [("a", 9, 9), ("b", 2, 1)]
+
+
+def test_an_index_is_complete(spark):
+    rows = spark.createDataFrame([("a", "converted"), ("b", "fell_back")], "tool_hash string, bucket string")
+    ask = lambda *h: catalog.indexed(rows, spark.createDataFrame([(x,) for x in h], "tool_hash string"))
+    assert [x.tool_hash for x in ask("a", "a").collect()] == ["a"]
+    with pytest.raises(ValueError, match="no converted tool for b"):
+        ask("a", "b")
+
+
+def test_bins_of_equal_count(spark):
+    rows = [("x", i, 10 + i // 3, 5) for i in range(23)] + [("y", i, 7, 7) for i in range(4)] + [("z", 0, 0, 1)]
+    p = spark.createDataFrame(rows, "tokenizer string, key int, j long, c long")
+    got = {}
+    for x in distributions.equal_count_bins(p, 5).collect():
+        got[x.tokenizer, x.bin] = x.n
+    want = {}
+    for t, n in (("x", 23), ("y", 4)):
+        for i in range(n):
+            b = -(-(i + 1) * 5 // n) - 1
+            want[t, b] = want.get((t, b), 0) + 1
+    assert got == want and distributions.equal_count_bins(p.limit(0)).count() == 0
+
+
+def test_tools_of_entries_are_normalised(spark):
+    e = spark.createDataFrame([(1, '{"name":"a","type":"dict"}'), (2, '{"name":"a","type":"dict"}'), (3, None)], "entry_id int, schema string")
+    got = {x.entry_id: x.schema for x in requests.entry_tools(e).collect()}
+    assert got[1] == got[2] == '{"name":"a","type":"object"}' and got[3] is None
+
+
 def test_native_names(spark):
     got = spark.createDataFrame([("a.b.c", True), ("a.b", False)], "n string, r boolean").select(prompts.native_name(F.col("n"), F.col("r")).alias("n")).collect()
     assert [x.n for x in got] == ["a_b_c", "a.b"]
