@@ -150,7 +150,8 @@ def read_warc(spark: SparkSession, path: str, max_rounds: int = 40) -> DataFrame
     followed in place; between splits, by pointer jumping over the entries, in rounds that double the distance. A
     record whose successor is neither a candidate nor the end of its file ends its chain and is marked incomplete, as
     is one whose file ends early; what follows is unreachable. A file that doesn't begin with a version line has no
-    records. Offsets come from the pieces' sizes, so no task reads more than its split and no file is gathered.
+    records. Offsets come from the pieces' sizes, so no task reads more than its split and no file is gathered. Chains that
+    still grow after max_rounds (2 ** max_rounds splits) are an error.
     """
     lines = spark.read.option("lineSep", MAGIC.decode()).text(path)
     pieces = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("value"))
@@ -180,7 +181,14 @@ def read_warc(spark: SparkSession, path: str, max_rounds: int = 40) -> DataFrame
         if now == n:
             break
         n = now
-        jump = materialise(jump.alias("x").join(jump.alias("y"), (F.col("x.file") == F.col("y.file")) & (F.col("x.exit") == F.col("y.start"))).select("x.file", "x.start", "y.exit"), "jump")
+        farther = materialise(jump.alias("x").join(jump.alias("y"), (F.col("x.file") == F.col("y.file")) & (F.col("x.exit") == F.col("y.start"))).select("x.file", "x.start", "y.exit"), "jump")
+        if jump is not hops:
+            release(jump)
+        jump = farther
+    else:
+        raise RuntimeError(f"chains of records still grow after {max_rounds} rounds")
+    if jump is not hops:
+        release(jump)
     entries = reached.withColumn("entry", F.lit(True))
     on = exits.select("file", "block", "start", "next").join(entries, ["file", "start"], "left").withColumn("entry", F.coalesce("entry", F.lit(False)))
     last = on.groupBy("file", "block").applyInPandas(_last, "file string, block long, entries array<long>, last struct<start:long,next:long>")
