@@ -10,7 +10,7 @@ from functools import cached_property, reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,8 +22,6 @@ from .simhash import SEED
 MISS = 0.004
 #: Odd multipliers: of the polynomial over the words of a shingle, and of the mixing step.
 _POLY, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
-#: By how much the number of a bucket's pivots grows in each round.
-MORE = 8
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -189,10 +187,9 @@ def near_dup_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows that repeat an id are one node. Other columns aren't read.
 
     A bucket is compared with one of its members, its pivot, not pairwise: that settles pairs, and buckets in which all come
-    to be of one component, so a large group of near copies gives rows in proportion to its size. Where some stay apart
-    from the bucket's main component, these are the pivots of further rounds, at most MORE of a bucket in the first and
-    MORE times as many in each later one, until every two members have been compared or are known to be of one component.
-    Components are carried on as stars, so that what is known already costs a row a text.
+    to be of one component, so a large group of near copies gives rows in proportion to its size. The texts of the other
+    buckets, whichever these are, are joined by prefixes of their shingle sets: only those of different components
+    that share a shingle rare enough for them to be similar are compared. That is exact, so all pairs of a bucket are settled.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
     tables = Tables.of_size(texts.count(), similarity)
@@ -209,41 +206,81 @@ def near_dup_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     pivots = materialise(kept.groupBy("key").agg(F.count("*").alias("m"), F.min(_turned("rep")).alias("p")).select("key", "m", _turned("p").alias("p")), "pivots")
     met = materialise(kept.join(pivots, "key").where("rep <> p"), "met")
     release(shared, kept, pivots)
-    pairs, left = met.select("rep", "p"), met.where("m > 2").select("key", "rep")
-    at_once, done, near, of = MORE, [], classes, texts
-    while True:
-        pairs = pairs.select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b")).distinct()
-        for old in done:
-            pairs = pairs.join(old, ["a", "b"], "left_anti")
-        done.append(materialise(pairs, "pairs"))
-        more = materialise(_links(done[-1], near, of, tables, shingle), "links")
-        labels = materialise(components(links.unionByName(more)), "labels")
-        release(more)
-        links = labels.select(F.col("component").alias("a"), F.col("node").alias("b")).where("a <> b")
-        left = left.join(small(labels.withColumnRenamed("node", "rep")), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
-        left = materialise(left, "left")
-        parts = left.groupBy("key", "component").agg(F.count("*").alias("size"))
-        mixed = parts.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max(F.struct("size", "component")).alias("most")).where("lo < hi")
-        rows = left.join(mixed.select("key", F.col("most.component").alias("main")), "key").withColumn("other", F.col("component") != F.col("main"))
-        rows = materialise(rows, "rows")
-        others = rows.where("other").groupBy("key").agg(F.count("*").alias("m"))
-        chosen = rows.where("other").join(others, "key").where(F.pmod(F.xxhash64("rep", F.lit(at_once)), F.col("m")) < at_once)
-        chosen = materialise(chosen.select("key", F.col("rep").alias("p"), F.col("component").alias("c")), "chosen")
-        release(met, left)
-        if rows.isEmpty():
-            break
-        met, at_once = rows, MORE * at_once
+    first = materialise(_ordered(met.select("rep", "p")), "pairs")
+    stars, known = _joined(links, materialise(_links(first, classes, texts, tables, shingle), "links"))
+    left = met.where("m > 2").select("key", "rep").join(small(known.withColumnRenamed("node", "rep")), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
+    left = materialise(left, "left")
+    mixed = left.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+    still = materialise(left.join(mixed, "key", "left_semi").select("rep", "component").distinct(), "open")
+    release(met, left)
+    if still.isEmpty():
+        labels = known
+    else:
         # what is still open is far less than all
-        dense = small(materialise(rows.select("rep").distinct(), "dense"))
-        near = materialise(near.join(dense, "rep", "left_semi"), "near")
-        of = materialise(of.join(dense.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi"), "of")
-        pairs = rows.join(chosen, "key").where("component <> c").select("rep", "p")
-        left = rows.join(chosen.select("key", F.col("p").alias("rep")), ["key", "rep"], "left_anti").select("key", "rep")
-    release(classes, reps, *done)
+        ends = small(still)
+        near = materialise(classes.join(ends, "rep", "left_semi"), "near")
+        of = materialise(texts.join(ends.withColumnRenamed("rep", "doc_id"), "doc_id").dropDuplicates(["doc_id"]), "of")
+        prefixes = materialise(_prefixes(of, shingle, similarity), "prefixes")
+        pairs = materialise(_candidates(prefixes, similarity).join(first, ["a", "b"], "left_anti"), "pairs")
+        _, labels = _joined(stars, materialise(_links(pairs, near, of.select("doc_id", "text"), tables, shingle), "links"))
+        release(prefixes, pairs, near, of)
+    release(classes, reps, first, still)
     ids = sketches.select("doc_id").distinct()
     return ids.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def _joined(links: DataFrame, more: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Components of all links, as stars (a, b) and as (node, component). The new links are deleted."""
+    labels = materialise(components(links.unionByName(more)), "labels")
+    release(more)
+    return labels.select(F.col("component").alias("a"), F.col("node").alias("b")).where("a <> b"), labels
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b")).distinct()
+
+
+def _members(size: int):
+    """A row per shingle hash of a text, with the size of its set."""
+
+    def make():
+        def kernel(reps, components, texts):
+            sets = [shingle_hashes(t, size) for t in to_bytes(texts)]
+            n = np.array([len(s) for s in sets], np.int64)
+            h = np.concatenate(sets) if sets else np.empty(0, np.uint64)
+            return [pa.array(np.repeat(x, n)) for x in (reps.to_numpy(), components.to_numpy(), n)] + [pa.array(h.view(np.int64))]
+
+        return kernel
+
+    return make
+
+
+def _prefixes(texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """(rep, component, n, h, rest): of each text's set of n shingles those in its prefix that texts of another component
+    hold too, with the number of shingles from there on.
+
+    One order holds for all sets: shingles that a single component holds, then the others, the rarest first. Of two
+    similar sets of different components, the first common shingle is of the second kind, and all they share is among the
+    rest from there on. A set of n that shares at least its least part, similarity * n, has that shingle in its prefix.
+    """
+    least = Fraction(str(similarity))
+    names = [("rep", T.LongType()), ("component", T.LongType()), ("n", T.LongType()), ("h", T.LongType())]
+    by_hash = Window.partitionBy("h")
+    found = flat_map(texts, _members(size), ["doc_id", "component", "text"], names)
+    found = found.withColumns({"held": F.count("*").over(by_hash), "lo": F.min("component").over(by_hash), "hi": F.max("component").over(by_hash)}).where("lo < hi")
+    rest = F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("held"), "h")).cast("long")
+    return found.withColumn("rest", rest).where(F.col("rest") * least.denominator >= F.col("n") * least.numerator).select("rep", "component", "n", "h", "rest")
+
+
+def _candidates(prefixes: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of different components with a common shingle from which on both sets are large enough to share what the
+    similarity asks of their sizes."""
+    least = Fraction(str(similarity))
+    x, y = prefixes.toDF("a", "c", "n", "h", "i"), prefixes.toDF("b", "d", "m", "h", "j")
+    enough = F.least("i", "j") * (least.numerator + least.denominator) >= (F.col("n") + F.col("m")) * least.numerator
+    return x.join(y, "h").where((F.col("a") < F.col("b")) & (F.col("c") != F.col("d")) & enough).select("a", "b").distinct()
+
+
 def _turned(name: str) -> Column:
     """An id with some bits turned over, and back: the least by this order is a bucket's pivot, whatever its rank by id."""
     return F.col(name).bitwiseXOR(F.lit(0x2545F4914F6CDD1D))

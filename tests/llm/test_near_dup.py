@@ -96,3 +96,33 @@ def test_large_group_of_near_copies(spark):
         texts[i] = " ".join(w)
     got = {x.doc_id: x.component_id for x in near_dup_components(docs_frame(spark, list(texts.items()))).collect()}
     assert got == brute_similar(texts)
+
+
+def test_texts_apart_in_a_dense_group_are_not_paired_with_all(spark, monkeypatch):
+    """Copies of one text, most of them just too far from each other: few pairs are compared, and every link is found."""
+    from schemaloom.llm import near_dup
+
+    r = random.Random(21)
+    base = words(r, 150).split(" ")
+    texts = {}
+    for i in range(240):
+        w = list(base)
+        for k in r.sample(range(0, 150, 6), 3 + i % 3):
+            w[k] = f"x{r.randrange(10**9)}"
+        texts[i] = " ".join(w)
+    for i in range(240, 260):  # near copies of members far from the middle
+        w = texts[5 * (i - 240) + 2].split(" ")
+        w[r.randrange(150)] = "also"
+        texts[i] = " ".join(w)
+    pairs, write = [], near_dup.materialise
+
+    def counted(df, label):
+        out = write(df, label)
+        if label == "pairs":
+            pairs.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dup, "materialise", counted)
+    got = {x.doc_id: x.component_id for x in near_dup_components(docs_frame(spark, list(texts.items()))).collect()}
+    assert got == brute_similar(texts) and len(set(got.values())) > 100
+    assert sum(pairs[1:]) < 6000, pairs  # of 28,680 between 240 texts
