@@ -226,11 +226,15 @@ def s_batches(spark, sf_dir):
 
 
 def s_catalog_files(spark, sf_dir):
-    """A catalog written as JSON lines, read with its functions unnested."""
-    occ = D.occurrences(spark, sf_dir).withColumn("g", F.col("ord") % 100)
+    """A catalog written as JSON lines, read with its functions unnested.
+
+    Entries are dealt out before they are gathered, so that a task holds the tools of a few entries only, and each task
+    writes its own file.
+    """
+    occ = D.occurrences(spark, sf_dir).select((F.col("ord") % 100).alias("g"), "ord", "schema").repartition(100, "g")
     entries = occ.groupBy("g").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "schema"))), lambda x: x["schema"]), ",").alias("f"))
     base = scratch(spark, "catalog")
-    entries.select(F.concat(F.lit('{"id":"e'), F.col("g"), F.lit('","function":['), F.col("f"), F.lit("]}")).alias("value")).coalesce(1).write.text(f"{base}/tools_v4_simple.json")
+    entries.select(F.concat(F.lit('{"id":"e'), F.col("g"), F.lit('","function":['), F.col("f"), F.lit("]}")).alias("value")).write.text(f"{base}/tools_v4_simple.json")
     got = files.read_catalog(spark, f"{base}/tools_v4_simple.json")
     return got.groupBy("entry").agg(F.count("schema").alias("n"), F.max("ord").alias("last"))
 

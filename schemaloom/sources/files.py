@@ -33,13 +33,15 @@ def category_of(file: Column) -> Column:
 def read_catalog(spark: SparkSession, path: str, categories: tuple[str, ...] | None = None) -> DataFrame:
     """Tool occurrences of JSON-lines files: (category, entry, ord, schema), a row per element of `function`.
 
-    Elements stay JSON text, so that key order survives.
+    Elements stay JSON text, so that key order survives. Lines are parsed before elements become rows: a column taken
+    from the line afterwards would parse the whole line again for each element.
     """
     rows = read_lines(spark, path).withColumn("category", category_of(F.col("file")))
     if categories:
         rows = rows.where(F.col("category").isin(*categories))
     tools = F.from_json(F.get_json_object("line", "$.function"), "array<string>")
-    return rows.select("category", F.get_json_object("line", "$.id").alias("entry"), F.posexplode_outer(tools).alias("ord", "schema"))
+    parsed = rows.select("category", F.get_json_object("line", "$.id").alias("entry"), tools.alias("tools"))
+    return parsed.select("category", "entry", F.posexplode_outer("tools").alias("ord", "schema"))
 
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists") -> str:
